@@ -18,3 +18,15 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(hw.n, 0) AS n_hit, coalesce(hi.n,
     sha256(coalesce(hi.s, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw ON hw.r = d.r LEFT JOIN hi ON hi.r = d.r
 """
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, i, array_to_string(w[i : i + 49], ' ') AS g
+    FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+m AS (SELECT g, min(doc_id) AS lo FROM x GROUP BY g),
+c AS (SELECT DISTINCT r, k FROM (SELECT x.r, unnest(range(x.i, x.i + 50)) AS k FROM x JOIN m ON m.g = x.g WHERE x.doc_id > m.lo)),
+k AS (SELECT e.r, string_agg(e.word, ' ' ORDER BY e.k) AS kept, count(*) AS n
+    FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d) e ANTI JOIN c ON c.r = e.r AND c.k = e.k GROUP BY e.r)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r
+"""
