@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, quality, simhash, substring_dedup
+from . import decontamination, language_id, line_dedup, packing, quality, secrets_scan, simhash, substring_dedup
 from .common import materialize
 from .oracles import ORACLES  # noqa: F401
 
@@ -20,6 +20,30 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_id.fit(docs.filter(~held_out))
+    return language_id.classify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+
+
+def _span_digests(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    of_base = F.filter("spans", lambda x: x.base if "base" in found.schema["spans"].dataType.elementType.names else x.kind.isin(*base))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(of_base, lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, base), F.sha2(_joined(of_base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(secrets_scan.scan(_table(spark, sf_dir, "documents")), secrets_scan.KINDS[:3])
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,6 +71,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_language_id": op2_language_id,
+    "op3_secret_scan": op3_secret_scan,
     "op4_simhash": op4_simhash,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
