@@ -7,15 +7,16 @@ not they are removed themselves, so the result doesn't depend on any order of wo
 
 1. One pass over the texts makes a row of digests per line. Equal lines are aggregated before the shuffle; the first
    of each stands for all.
-2. Two lines within one edit share their first or their last four words, as these don't overlap. Lines that share
-   neither with any other are done; only the rest need their texts.
+2. Of two lines within one edit, the first half or the last half of the words is the same (halves of the shorter line
+   or, at equal lengths, of either). Lines that share no half with another are done; only the rest need their texts.
+   Their places are broadcast up to ``broadcast_lines`` of them, else joined to the texts.
 3. Each of the rest emits its deletion neighbourhood as hashed keys: itself, and for each place itself without that
    word, once with the place (for changed words) and once without (for added ones). Lines with a key in common are
    joined through the key's earliest line, so a key that a million lines share makes a million rows, not pairs of them.
 4. The edit distance of each line to the earliest is verified on the words, and the first occurrences are removed with
    all their copies.
 
-Keys are 128-bit digests. Joins have one row per key on one side, so a hot key's other side can be split.
+Lines are told apart by 128-bit digests; keys are 64-bit hashes, and what they join is verified. Joins have one row per key on one side, so a hot key's other side can be split.
 
 Nulls: a null text stays null and has no lines; the lines of a row with a null doc_id have no order, so they all stay
 and remove none. Repeated rows are one document and don't remove each other's lines. Removed lines go with their line
@@ -30,18 +31,30 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, only, text_bytes
 
-_EDGE = 4
+
+_EDGES = ("e0", "e1", "e2", "e3")
 
 
 def _digest(x: bytes) -> bytes:
     return hashlib.blake2b(x, digest_size=16).digest()
 
 
+def _halves(w: list[bytes]) -> bytes:
+    """Four 64-bit hashes: the halves that a line has in common with a line of one edit, in the groups of lines of
+    n - 1 and n, and of n and n + 1 words."""
+    out = []
+    for g in (len(w), len(w) + 1):
+        p = (g - 1) // 2
+        out += xxhash.xxh3_64_digest(b" ".join(w[:p]), g), xxhash.xxh3_64_digest(b" ".join(w[-p:]), g + (1 << 40))
+    return b"".join(out)
+
+
 def _pair(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     return pa.array(both[:, 0]), pa.array(both[:, 1])
@@ -50,13 +63,13 @@ def _pair(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
 def _lines(min_words: int):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, line, n, d, a, b = [], [], [], [], [], []
+            row, line, n, d, halves = [], [], [], [], []
 
             def flush() -> pa.RecordBatch:
                 d1, d2 = _pair(d)
-                edges = [pa.array(np.frombuffer(b"".join(x), np.int64)) for x in (a, b)]
+                edges = np.frombuffer(b"".join(halves), np.int64).reshape(-1, 4)
                 rows = pa.array(row, pa.int64())
-                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line, pa.int32()), pa.array(n, pa.int32()), d1, d2, *edges], names=["doc_id", "h", "line", "n", "d1", "d2", "a", "b"])
+                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line, pa.int32()), pa.array(n, pa.int32()), d1, d2, *(pa.array(edges[:, k]) for k in range(4))], names=["doc_id", "h", "line", "n", "d1", "d2", *_EDGES])
 
             for i, text in enumerate(text_bytes(batch.column(2))):
                 for k, x in enumerate(text.split(b"\n")):
@@ -66,11 +79,10 @@ def _lines(min_words: int):
                         line.append(k)
                         n.append(len(w))
                         d.append(_digest(b" ".join(w)))
-                        a.append(hashlib.blake2b(b" ".join(w[:_EDGE]), digest_size=8).digest())
-                        b.append(hashlib.blake2b(b" ".join(w[-_EDGE:]), digest_size=8, person=b"last").digest())
+                        halves.append(_halves(w))
                 if len(row) > 50_000:
                     yield flush()
-                    row, line, n, d, a, b = [], [], [], [], [], []
+                    row, line, n, d, halves = [], [], [], [], []
             if row:
                 yield flush()
 
@@ -93,18 +105,19 @@ def _neighbourhood(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
             row, kind, keys = [], [], []
-            for i, words in enumerate(part.column(4).to_pylist()):
+            for i, words in enumerate(part.column(1).to_pylist()):
                 w = words.split()
                 n = len(w)
                 row += [i] * (2 * n + 1)
                 kind += [1] + [0, 2] * n
-                keys.append(_digest(words))
-                for k in range(n):
-                    less = b" ".join(w[:k] + w[k + 1 :])
-                    keys += _digest(b"%d/%d " % (k, n) + less), _digest(less)
-            k1, k2 = _pair(keys)
+                keys.append(xxhash.xxh3_64_digest(words))
+                at = 0
+                for k, x in enumerate(w):
+                    less = words[:at] + words[at + len(x) + 1 :] if k < n - 1 else words[: at - 1]
+                    keys += xxhash.xxh3_64_digest(b"%d/%d " % (k, n) + less), xxhash.xxh3_64_digest(less)
+                    at += len(x) + 1
             rows = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([k1, k2, pa.array(kind, pa.int8()), *(part.column(c).take(rows) for c in range(4))], names=["k1", "k2", "kind", "doc_id", "line", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(kind, pa.int8()), part.column(0).take(rows)], names=["key", "kind", "id"])
 
 
 def one_edit(x: list[bytes], y: list[bytes]) -> bool:
@@ -123,29 +136,32 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def removals(documents: DataFrame, min_words: int = 5, near_words: int = 8) -> DataFrame:
+def removals(documents: DataFrame, min_words: int = 5, near_words: int = 8, broadcast_lines: int = 500_000) -> DataFrame:
     """doc_id, h (hash of the text) and the numbers of the lines to remove, for each document that has any."""
-    if near_words < 2 * _EDGE or min_words > near_words:
-        raise ValueError(f"near_words is at least {2 * _EDGE} and min_words")
+    if not 1 <= min_words <= near_words or near_words < 4:
+        raise ValueError("near_words is at least 4 and min_words")
     docs = only(documents, "doc_id", "text").filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    lines = materialize(docs.mapInArrow(_lines(min_words), "doc_id bigint, h bigint, line int, n int, d1 bigint, d2 bigint, a bigint, b bigint"), "lines")
-    first = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "h")).alias("f"), F.min("n").alias("n"), F.min("a").alias("a"), F.min("b").alias("b"))
+    lines = materialize(docs.mapInArrow(_lines(min_words), "doc_id bigint, h bigint, line int, n int, d1 bigint, d2 bigint, e0 bigint, e1 bigint, e2 bigint, e3 bigint"), "lines")
+    first = lines.select("doc_id", "h", "line", "d1", "d2").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "h")).alias("f"))
 
-    edges = first.filter(F.col("n") >= near_words).select("d1", "d2", "f", F.explode(F.array("a", "b")).alias("edge"))
+    # copies of a line share its halves, so they are made one row first
+    edges = lines.filter(F.col("n") >= near_words).select("d1", "d2", *_EDGES).distinct().select("d1", F.explode(F.array(*_EDGES)).alias("edge"))
     met = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("edge")
-    some = edges.join(met, "edge").select("d1", "d2", "f").distinct()
-    wanted = some.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.h").alias("h")).agg(F.collect_list(F.struct(F.col("f.line").alias("line"), "d1", "d2")).alias("wanted"))
-    texts = materialize(docs.join(wanted, ["doc_id", "h"]).select("doc_id", "text", "wanted").mapInArrow(_texts, "doc_id bigint, line int, d1 bigint, d2 bigint, words binary").distinct(), "line-texts")
-
-    keys = texts.select("doc_id", "line", "d1", "d2", "words").mapInArrow(_neighbourhood, "k1 bigint, k2 bigint, kind byte, doc_id bigint, line int, d1 bigint, d2 bigint")
-    me = F.struct("doc_id", "line", "d1", "d2")
-    least = keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.col("kind") < 2, me)).alias("whole"), F.min(F.when(F.col("kind") == 2, me)).alias("less"))
-    pairs = keys.join(least.filter("c > 1"), ["k1", "k2"]).select("doc_id", "line", "d1", "d2", F.when(F.col("kind") == 1, F.col("less")).otherwise(F.col("whole")).alias("e"))
-    pairs = pairs.filter((F.col("e.doc_id") < F.col("doc_id")) | ((F.col("e.doc_id") == F.col("doc_id")) & (F.col("e.line") < F.col("line"))))
-    pairs = pairs.select("d1", "d2", F.col("e.d1").alias("e1"), F.col("e.d2").alias("e2")).distinct()
-    mine = texts.select("d1", "d2", F.col("words").alias("w"))
-    theirs = texts.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("words").alias("v"))
-    near = pairs.join(mine, ["d1", "d2"]).join(theirs, ["e1", "e2"]).select("d1", "d2", "w", "v").mapInArrow(_verify, "d1 bigint, d2 bigint").distinct()
+    some = edges.join(met, "edge").select("d1").distinct()
+    wanted = first.join(some, "d1").groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.h").alias("h")).agg(F.collect_list(F.struct(F.col("f.line").alias("line"), "d1", "d2")).alias("wanted"))
+    wanted = materialize(wanted, "wanted-lines")
+    few = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0)).alias("n")).head().n <= broadcast_lines
+    texts = docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "h"]).select("doc_id", "text", "wanted").mapInArrow(_texts, "doc_id bigint, line int, d1 bigint, d2 bigint, words binary")
+    # ids in the order of lines, as one number that aggregates fast
+    texts = materialize(texts.distinct().orderBy("doc_id", "line").withColumn("id", F.monotonically_increasing_id()), "line-texts")
+
+    keys = texts.select("id", "words").mapInArrow(_neighbourhood, "key bigint, kind byte, id bigint")
+    least = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.col("kind") < 2, F.col("id"))).alias("whole"), F.min(F.when(F.col("kind") == 2, F.col("id"))).alias("less"))
+    pairs = keys.join(least.filter("c > 1"), "key").select("id", F.when(F.col("kind") == 1, F.col("less")).otherwise(F.col("whole")).alias("other")).filter("other < id").distinct()
+    mine = texts.select("id", "doc_id", "line", "d1", "d2", F.col("words").alias("w"))
+    theirs = texts.select(F.col("id").alias("other"), F.col("doc_id").alias("doc"), F.col("line").alias("at"), F.col("words").alias("v"))
+    both = pairs.join(mine, "id").join(theirs, "other").filter("doc < doc_id or doc = doc_id and at < line")
+    near = both.select("d1", "d2", "w", "v").mapInArrow(_verify, "d1 bigint, d2 bigint").distinct()
 
     marked = first.select("d1", "d2", "f").join(near.withColumn("near", F.lit(True)), ["d1", "d2"], "left")
     later = (F.col("doc_id") > F.col("f.doc_id")) | ((F.col("doc_id") == F.col("f.doc_id")) & (F.col("line") > F.col("f.line")))
