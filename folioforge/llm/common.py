@@ -73,7 +73,8 @@ def blocks(texts: list[bytes | None], most: int = BLOCK_BYTES) -> Iterator[tuple
         yield a, len(texts)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2 ** 64."""
     if len(_POWERS[0]) < n:
         m = max(n, BLOCK_BYTES + 1)
         for k, base in enumerate((_B, _BINV)):
@@ -83,6 +84,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The numbers with their bits spread, one to one. Changes its argument."""
+    for _ in range(2):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 class Words:
     """The words of normalised texts (words joined by one space): ``buf`` has the texts joined by newlines, word ``k``
     is ``buf[start[k]:end[k]]``, and text ``d`` has the words ``first[d]`` to ``first[d + 1]``."""
@@ -104,18 +114,12 @@ class Words:
             return np.zeros(0, np.uint64)
         if self._prefix is None:
             raw = np.frombuffer(self.buf, np.uint8)
-            up, _ = _powers(len(raw) + 1)
+            up, _ = powers(len(raw) + 1)
             self._prefix = np.zeros(len(raw) + 1, np.uint64)
             np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=self._prefix[1:])
-        _, down = _powers(len(self._prefix))
+        _, down = powers(len(self._prefix))
         a, b = self.start[:n], self.end[m - 1 :]
-        h = (self._prefix[b] - self._prefix[a]) * down[a]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        return h
+        return mixed((self._prefix[b] - self._prefix[a]) * down[a])
 
     def windows(self, m: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of m words, and the text of each."""

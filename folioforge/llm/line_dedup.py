@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only, text_bytes
+from .common import Words, blocks, materialize, mixed, only, powers, text_bytes
 
 
 _EDGES = ("e0", "e1", "e2", "e3")
@@ -80,9 +80,9 @@ def _lines(min_words: int):
                         n.append(len(w))
                         d.append(_digest(b" ".join(w)))
                         halves.append(_halves(w))
-                if len(row) > 50_000:
-                    yield flush()
-                    row, line, n, d, halves = [], [], [], [], []
+                        if len(row) >= 20_000:
+                            yield flush()
+                            row, line, n, d, halves = [], [], [], [], []
             if row:
                 yield flush()
 
@@ -100,24 +100,29 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbourhood(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: without the word at a place, with the place and length; 1: the whole line; 2: without a word."""
+    """Kind 0: without the word at a place, with the place and length; 1: the whole line; 2: without a word.
+
+    A line's key is a polynomial in its words' hashes, so the key without a word comes from two sums: the keys of a line
+    of n words take time in proportion to n."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            row, kind, keys = [], [], []
-            for i, words in enumerate(part.column(1).to_pylist()):
-                w = words.split()
-                n = len(w)
-                row += [i] * (2 * n + 1)
-                kind += [1] + [0, 2] * n
-                keys.append(xxhash.xxh3_64_digest(words))
-                at = 0
-                for k, x in enumerate(w):
-                    less = words[:at] + words[at + len(x) + 1 :] if k < n - 1 else words[: at - 1]
-                    keys += xxhash.xxh3_64_digest(b"%d/%d " % (k, n) + less), xxhash.xxh3_64_digest(less)
-                    at += len(x) + 1
-            rows = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(kind, pa.int8()), part.column(0).take(rows)], names=["key", "kind", "id"])
+        texts = batch.column(1).to_pylist()
+        for lo, hi in blocks(texts, 1 << 18):
+            w = Words(texts[lo:hi])
+            n = np.diff(w.first)
+            line = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(line)) - w.first[line]
+            up, down = powers(max(2, int(n.max())))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hashes(1) * up[at])))
+            start, end, here = sums[w.first[:-1]], sums[w.first[1:]], np.arange(len(line))
+            size = mixed(n.astype(np.uint64) + np.uint64(1))
+            whole = mixed((end - start) * (2 * size + np.uint64(1)))
+            short = mixed(n.astype(np.uint64))[line]
+            less = mixed((sums[here] - start[line] + (end[line] - sums[here + 1]) * down[1]) * (2 * short + np.uint64(1)))
+            placed = mixed(less ^ mixed((at.astype(np.uint64) << np.uint64(32)) + n[line].astype(np.uint64)))
+            ids = batch.column(2).slice(lo, hi - lo)
+            rows = pa.array(line)
+            for keys, kind, of in ((whole, 1, ids), (less, 2, ids.take(rows)), (placed, 0, ids.take(rows))):
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), kind, np.int8)), of], names=["key", "kind", "id"])
 
 
 def one_edit(x: list[bytes], y: list[bytes]) -> bool:
@@ -155,7 +160,7 @@ def removals(documents: DataFrame, min_words: int = 5, near_words: int = 8, broa
     # ids in the order of lines, as one number that aggregates fast
     texts = materialize(texts.distinct().orderBy("doc_id", "line").withColumn("id", F.monotonically_increasing_id()), "line-texts")
 
-    keys = texts.select("id", "words").mapInArrow(_neighbourhood, "key bigint, kind byte, id bigint")
+    keys = texts.select("d1", "words", "id").mapInArrow(_neighbourhood, "key bigint, kind byte, id bigint")
     least = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.col("kind") < 2, F.col("id"))).alias("whole"), F.min(F.when(F.col("kind") == 2, F.col("id"))).alias("less"))
     pairs = keys.join(least.filter("c > 1"), "key").select("id", F.when(F.col("kind") == 1, F.col("less")).otherwise(F.col("whole")).alias("other")).filter("other < id").distinct()
     mine = texts.select("id", "doc_id", "line", "d1", "d2", F.col("words").alias("w"))
