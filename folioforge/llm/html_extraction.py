@@ -193,17 +193,16 @@ def templates(pages: DataFrame, share: float = 0.9, min_pages: int = 8) -> DataF
 
 
 def main_text(page: str, fixed: frozenset[int] | set[int]) -> str:
+    """The kept slots of a page. Where the fixed texts would be most of it, the host's pages are copies of one article rather
+    than a template with articles in it, and they stay."""
     blocks, _ = read(page)
     some = any(b.main and not b.left for b in blocks)
-    out = []
-    for b in blocks:
-        if b.left or some and not b.main or fixed and _text_token(b) in fixed:
-            continue
-        if some or 2 * b.linked <= b.size:
-            text = b.text()
-            if text:
-                out.append(text)
-    return " ".join(out)
+    slots = [b for b in blocks if not b.left and (b.main if some else 2 * b.linked <= b.size)]
+    if fixed:
+        free = [b for b in slots if _text_token(b) not in fixed]
+        if 2 * sum(b.size for b in free) >= sum(b.size for b in slots):
+            slots = free
+    return " ".join(filter(None, (b.text() for b in slots)))
 
 
 def extract(pages: DataFrame, share: float = 0.9, min_pages: int = 8, broadcast_tokens: int = 2_000_000) -> DataFrame:

@@ -174,9 +174,9 @@ def removals(documents: DataFrame, min_words: int = 5, near_words: int = 8, broa
     return gone.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup(documents: DataFrame, min_words: int = 5, near_words: int = 8, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+def dedup(documents: DataFrame, min_words: int = 5, near_words: int = 8, n_lines: str = "n_lines", n_removed: str = "n_removed", broadcast_lines: int = 500_000) -> DataFrame:
     """The documents with all their columns, their texts without the removed lines, and two counts."""
-    gone = removals(documents, min_words, near_words).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
+    gone = removals(documents, min_words, near_words, broadcast_lines).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
     found = documents.join(gone, (documents["doc_id"] == gone["__doc"]) & (F.xxhash64(documents["text"]) == gone["__h"]), "left")
     lines = F.split(F.col("text"), "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
