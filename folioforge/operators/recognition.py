@@ -118,13 +118,14 @@ def infer_schema(docs: DataFrame, key: str = "ordinal", text: str = "text", min_
     docs = _texts(docs, key, text)
     known = common_labels(docs, key, text, min_support) if known is None else known
     total = docs.agg(F.count(F.lit(1)).alias("total"))
+    # one aggregate by label, kind and value (a value has one kind); the others are made of it, and its exchange is reused
     pairs = label_values(docs, key, text, known).withColumn("kind", classify("value"))
-    seen = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("support"), F.min(F.struct(key, "line_no")).alias("first"))
+    base = pairs.groupBy("label", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "line_no")).alias("first"))
+    seen = base.groupBy("label").agg(F.sum("n").alias("support"), F.min("first").alias("first"), F.max("n").alias("most"))
     enough = seen.join(F.broadcast(total)).filter(F.col("support") / F.col("total").cast("double") >= min_support)
-    top = pairs.groupBy("label", "value").count().groupBy("label").agg(F.max("count").alias("most"))
-    kinds = pairs.groupBy("label", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("since"), F.min_by("value", key).alias("example"))
+    kinds = base.groupBy("label", "kind").agg(F.sum("n").alias("n"), F.min("first").alias("since"), F.min_by("value", "first").alias("example"))
     best = kinds.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "since"))).filter("place = 1")
-    real = enough.join(top, "label").filter(~((F.col("support") >= BOILERPLATE_DOCS) & (F.col("most") / F.col("support") >= BOILERPLATE_SHARE)))
+    real = enough.filter(~((F.col("support") >= BOILERPLATE_DOCS) & (F.col("most") / F.col("support") >= BOILERPLATE_SHARE)))
     ranked = real.join(best.select("label", "kind", "example"), "label").orderBy(F.desc("support"), "first").limit(max_fields)
     return ranked.select("label", "support", F.bround(F.col("support") / F.col("total").cast("double"), 3).alias("ratio"), "kind", "example")
 

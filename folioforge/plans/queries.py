@@ -181,7 +181,7 @@ _READ = {
 
 
 def _part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _t(spark, sf_dir, "part")
+    part = invoices.spread(_t(spark, sf_dir, "part"))
     return part.select(F.col("p_partkey").alias("ordinal"), F.array(F.concat(F.lit("Part ("), F.col("p_partkey").cast("string"), F.lit(")")), "p_name", F.concat(F.lit("Size {x} & more: "), F.col("p_size").cast("string"))).alias("lines"))
 
 

@@ -7,7 +7,6 @@ import json
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from email.message import EmailMessage
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -45,10 +44,8 @@ def odt(lines: Lines) -> bytes:
 
 
 def eml(lines: Lines) -> bytes:
-    m = EmailMessage()
-    m["From"], m["To"], m["Subject"] = "office@example.com", "client@example.com", lines[0]
-    m.set_content("\n".join(lines[1:]))
-    return m.as_bytes()
+    head = f"From: office@example.com\r\nTo: client@example.com\r\nSubject: {lines[0]}\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"
+    return (head + "\n".join(lines[1:])).encode()
 
 
 def rtf(lines: Lines) -> bytes:
