@@ -7,7 +7,7 @@ by less than ``min_margin``, the choice is rejected.
 
 Fitting uses a bounded sample: of each of at most ``max_languages`` labels (the most frequent), at most ``samples``
 documents, spread by a hash of doc_id, and of each a part of at most ``sample_chars`` characters at a hashed place. So
-``max_languages * samples * sample_chars`` characters reach the driver at most (102 million at the defaults, 1 million for
+``max_languages * samples * sample_chars`` characters reach the driver at most (102 million at the defaults, 2 million for
 four languages), and the dictionaries have ``dictionary_bytes`` each. Samples that another language's dictionary encodes
 smaller are left out of the final dictionaries.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
@@ -33,13 +34,15 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
-    """The text in lower case with all but letters made single spaces; empty if it has no letter."""
+    """The text in lower case with all but letters made single spaces, and a word said many times in a row said once, as it
+    tells no more; empty if it has no letter."""
     norm = _OTHER.sub(" ", text.lower()) if text else ""
-    return f" {norm.strip()} ".encode() if any(map(str.isalpha, norm)) else b""
+    return f" {' '.join(w for w, _ in groupby(norm.split()))} ".encode() if any(map(str.isalpha, norm)) else b""
 
 
 class Model:
-    """One dictionary per language. Compressors are made where they are first used."""
+    """One dictionary per language, the most frequent language first: it is taken where sizes are equal. Compressors are made
+    where they are first used."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = 3):
         self.dictionaries, self.level = dictionaries, level
@@ -54,7 +57,7 @@ class Model:
     def sizes(self, norm: bytes) -> dict[str, int]:
         if self._made is None:
             self._made = {}
-            for lang, content in sorted(self.dictionaries.items()):
+            for lang, content in self.dictionaries.items():
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=self.level)
                 self._made[lang] = zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False)
@@ -66,10 +69,10 @@ class Model:
         norm = letters(text)
         if not norm or not self.dictionaries:
             return "und", 0.0
-        ranked = sorted((n, lang) for lang, n in self.sizes(norm).items())
+        ranked = sorted((n, k, lang) for k, (lang, n) in enumerate(self.sizes(norm).items()))
         if len(ranked) == 1:
-            return ranked[0][1], 1.0
-        return ranked[0][1], (ranked[1][0] - ranked[0][0]) / ranked[1][0]
+            return ranked[0][2], 1.0
+        return ranked[0][2], (ranked[1][0] - ranked[0][0]) / ranked[1][0]
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -81,7 +84,7 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     return b"".join(s[:share] for s in samples)[-size:]
 
 
-def fit(labelled: DataFrame, samples: int = 128, sample_chars: int = 4000, max_languages: int = 200, dictionary_bytes: int = 1 << 17) -> Model:
+def fit(labelled: DataFrame, samples: int = 256, sample_chars: int = 2000, max_languages: int = 200, dictionary_bytes: int = 1 << 18) -> Model:
     """``labelled`` has doc_id, text and lang."""
     rows = only(labelled, "doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
     langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
@@ -100,7 +103,7 @@ def fit(labelled: DataFrame, samples: int = 128, sample_chars: int = 4000, max_l
         own = []
         for p in parts:
             sizes = rough.sizes(p) if p else {}
-            if sizes and min(sizes, key=lambda k: (sizes[k], k)) == lang:
+            if sizes and min(sizes, key=sizes.__getitem__) == lang:
                 own.append(p)
         cleaned[lang] = own or parts
     return Model({lang: _dictionary(x, dictionary_bytes) for lang, x in cleaned.items()})

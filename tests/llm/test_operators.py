@@ -206,7 +206,7 @@ def test_language_id(spark, empty):
     vocabulary = {"aa": ["the", "of", "thing", "over", "where", "with"], "bb": ["der", "und", "schön", "über", "nicht", "ein"], "cc": ["où", "les", "été", "dans", "avec", "pas"]}
     make = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) for _ in range(n))
     rows = [(k, make(lang, rng.randint(20, 200)), lang) for k, lang in enumerate(list(vocabulary) * 40)]
-    rows += [(None, "the of", "aa"), (500, None, "aa"), (501, "12 34", "bb"), (502, "where with", None)]
+    rows += [(None, "the of thing over where with the thing", "aa"), (500, None, "aa"), (501, "12 34", "bb"), (502, "where with", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.fit(df)
     held = spark.createDataFrame([(k, make(lang, 30), lang, "x") for k, lang in enumerate(list(vocabulary) * 20)], "doc_id long, text string, lang string, score string")
