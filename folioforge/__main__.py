@@ -12,25 +12,26 @@ from collections.abc import Sequence
 from . import __version__
 
 
+_SWITCHES = {
+    "--json": "write objects, one to a line", "-q --quiet": "print no summary", "--batch": "make tables of all that lies under the paths", "--recognize": "find the columns that the documents have in common",
+    "--no-text": "leave texts out of the results", "--no-copy-originals": "keep texts and hashes only", "--verify": "check the workspace against its hashes",
+}
+_FILES = {
+    "--csv": ("FILE", "results"), "--exceptions": ("FILE", "what wasn't read, and why"), "--datasheet": ("FILE", "state of each input (.csv or .html)"), "--report": ("FILE", "review page (.html)"),
+    "--workspace": ("FOLDER", "where documents and versions are kept"), "--import-csv": ("FILE", "file a corrected table as a revision of the workspace"),
+}
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="folioforge", description="Turns documents into tables.")
     p.add_argument("paths", nargs="*")
     p.add_argument("--version", action="version", version=__version__)
-    p.add_argument("--json", action="store_true", help="a JSON object per document")
-    p.add_argument("-q", "--quiet", action="store_true")
-    p.add_argument("--batch", action="store_true", help="read everything under the paths into tables")
-    p.add_argument("--csv", metavar="FILE", help="results")
-    p.add_argument("--exceptions", metavar="FILE", help="what wasn't read, and why")
-    p.add_argument("--datasheet", metavar="FILE", help="state of each input (.csv or .html)")
-    p.add_argument("--report", metavar="FILE", help="review page (.html)")
-    p.add_argument("--field", action="append", default=[], metavar="NAME=REGEX")
-    p.add_argument("--recognize", action="store_true", help="find the columns that the documents have in common")
-    p.add_argument("--min-support", type=float, default=0.5)
-    p.add_argument("--no-text", action="store_true")
-    p.add_argument("--workspace", metavar="FOLDER")
-    p.add_argument("--no-copy-originals", action="store_true")
-    p.add_argument("--import-csv", metavar="FILE", help="file a corrected table as a revision of the workspace")
-    p.add_argument("--verify", action="store_true", help="check the workspace against its hashes")
+    for names, text in _SWITCHES.items():
+        p.add_argument(*names.split(), help=text, action="store_true")
+    for name, (kind, text) in _FILES.items():
+        p.add_argument(name, help=text, metavar=kind)
+    p.add_argument("--field", metavar="NAME=REGEX", default=[], action="append", help="a column of first matches")
+    p.add_argument("--min-support", metavar="SHARE", default=0.5, type=float, help="of documents that must have a column found by --recognize")
     p.add_argument("--master", default=os.environ.get("SPARK_MASTER", "local[*]"))
     return p
 

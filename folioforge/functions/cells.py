@@ -9,7 +9,7 @@ from .text import _col
 
 CELL_LIMIT = 32_767
 PREVIEW_LIMIT = 100_000
-_LEADS = ["=", "+", "-", "@", "\t", "\r"]
+_LEADS = list("=+-@\t\r")
 _PLAIN_NEGATIVE = r"\A-[$£€]?" + r"([0-9]+|[0-9]{1,3}(,[0-9]{3})+)" + r"(\.[0-9]+)?%?\z"
 
 

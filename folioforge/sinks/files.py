@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import os
 from collections.abc import Sequence
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import delivered
+from ..sources.readers.plain import ENCODINGS
 
 SUMMARY_ROWS, SUMMARY_WIDTH = 20, 28
 
@@ -21,7 +23,7 @@ def write_csv(table: DataFrame, path: str | Path) -> int:
     """The table as one CSV file with a header, whatever its number of rows; returns that number. The rows come to the
     driver a partition at a time."""
     cells, n = delivered(table), 0
-    with open(path, "w", newline="", encoding="utf-8") as f:
+    with Path(path).open("w", encoding="utf-8", newline="") as f:
         out = csv.writer(f)
         out.writerow(cells.columns)
         for row in cells.toLocalIterator(prefetchPartitions=True):
@@ -37,13 +39,13 @@ def save_csv(table: DataFrame, folder: str) -> None:
 
 def read_csv_rows(path: str | Path) -> tuple[list[dict[str, str]], list[str], str]:
     """Rows, columns and encoding of a corrected table: UTF-8, else Windows-1252."""
-    for encoding in ("utf-8-sig", "cp1252"):
+    raw = Path(path).read_bytes()
+    for encoding in ENCODINGS:
         try:
-            with open(path, newline="", encoding=encoding) as f:
-                table = csv.DictReader(f)
-                return list(table), list(table.fieldnames or ()), encoding
+            table = csv.DictReader(io.StringIO(raw.decode(encoding), newline=""))
         except UnicodeDecodeError:
             continue
+        return list(table), list(table.fieldnames or ()), encoding
     raise ValueError(f"{path} is neither UTF-8 nor Windows-1252; save it as CSV UTF-8")
 
 

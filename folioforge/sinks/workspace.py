@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
@@ -33,7 +34,7 @@ def sha256_file(path: str | Path) -> str:
 
 def safe_name(label: str, digest: str | None = None) -> str:
     """A file name for a document: its own, made harmless, with its number among members of one name and part of a hash."""
-    parts = [p for p in label.replace("\\", "/").replace("!", "/").split("/") if p.strip(".")]
+    parts = [p for p in re.split(r"[/\\!]", label) if p.strip(".")]
     base, number = parts[-1] if parts else "document", ""
     head, mark, tail = base.rpartition("#")
     if mark and head and tail.isdigit():
@@ -56,7 +57,7 @@ class Workspace:
         for name in ("originals", "extracted", "revisions"):
             (self.root / name).mkdir(parents=True, exist_ok=True)
         manifest = {
-            "schema": 1, "tool": f"folioforge {__version__}", "created": _now(), "sources": [os.path.abspath(s) for s in sources], "documents": [], "revisions": [],
+            "schema": 1, "tool": f"folioforge {__version__}", "created": _now(), "documents": [], "sources": [os.path.abspath(s) for s in sources], "revisions": [],
             "note": "Hashes show that files are as they were. They are no signature: who can write here can change them too.",
         }
         self._write(manifest)
@@ -124,15 +125,14 @@ class Workspace:
             changes = [r.asDict() for r in revisions.diff(previous, delivered(table), key).orderBy("file", "column").toLocalIterator()]
             if skip_if_unchanged and not changes:
                 return None
-        number = len(manifest["revisions"]) + 1
+        number = 1 + len(manifest["revisions"])
         path = self.root / "revisions" / f"revision_{number:03d}.csv"
         rows = write_csv(table, path)
         entry = {
-            "revision": number, "file": str(path.relative_to(self.root)), "sha256": sha256_file(path), "rows": rows, "created": _now(), "note": note,
-            "changes_from_previous": changes, "change_count": len(changes),
+            "revision": number, "rows": rows, "note": note, "created": _now(), "file": str(path.relative_to(self.root)), "sha256": sha256_file(path),
+            "change_count": len(changes), "changes_from_previous": changes,
         }
-        manifest["revisions"].append(entry)
-        self._write(manifest)
+        self._write(manifest | {"revisions": [*manifest["revisions"], entry]})
         return entry
 
     def import_csv(self, spark: SparkSession, path: str | Path, note: str = "") -> tuple[dict | None, str]:

@@ -8,7 +8,7 @@ from email.message import EmailMessage
 
 from .markup import visible_text
 
-_SHOWN = ("From", "To", "Cc", "Date", "Subject")
+_SHOWN = "From To Cc Date Subject".split()
 
 
 def _content(part: EmailMessage) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 from ..limits import LIMITS, MB, EncryptedDocument, StreamTooLarge, UndecodableFonts, inflate
@@ -14,7 +15,7 @@ GARBAGE_SHARE, LOST_SHARE, PAGE_CHARS = 0.2, 0.95, 150
 
 _ITEM = re.compile(rb"(?P<plain>\([^()\\]*\))|(?P<open>\()|(?P<hex><(?!<)[^>]*>?)|(?P<array>[\[\]])|/(?P<name>[A-Za-z0-9+._#-]*)|(?P<number>[-+.0-9][0-9.]*)|(?P<op>[A-Za-z'\"][A-Za-z*'\"]*)")
 _ESCAPE = re.compile(rb"\\(?:([0-9]{1,3})|([\r\n])|(.)|\Z)", re.S)
-_SIMPLE = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+_SIMPLE = {bytes([a]): bytes([b]) for a, b in zip(b"nrtbf", b"\n\r\t\b\f")}
 
 
 def _unescape(raw: bytes) -> bytes:
@@ -43,13 +44,14 @@ def _closing(buf: bytes, at: int) -> int:
 
 
 def _hex(raw: bytes) -> bytes:
-    digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw).decode()
+    digits = "".join(c for c in raw.decode("latin-1") if c in string.hexdigits)
     return bytes.fromhex(digits + "0" * (len(digits) % 2))
 
 
 def _unreadable(text: str) -> bool:
     """Whether a run is glyph numbers rather than characters."""
-    return sum(not c.isprintable() and c not in "\n\r\t" for c in text) > GARBAGE_SHARE * len(text)
+    odd = [c for c in text if c not in "\t\n\r" and not c.isprintable()]
+    return len(odd) > GARBAGE_SHARE * len(text)
 
 
 class Page:

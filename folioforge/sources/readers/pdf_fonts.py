@@ -10,7 +10,7 @@ from ..limits import LIMITS
 CodeMap = dict[int, str]
 _HEAD = re.compile(rb"\b([0-9]+)\s+[0-9]+\s+obj\b")
 _REFERENCE = rb"\s*([0-9]+)\s+[0-9]+\s+R\b"
-_HEX = rb"<([0-9A-Fa-f]+)>"
+_HEX = rb"<([\dA-Fa-f]+)>"
 _UNKNOWN = "�"
 
 
@@ -57,13 +57,17 @@ def _utf16(digits: bytes) -> bytes:
     return raw + b"\0" * (len(raw) % 2)
 
 
+def _sections(cmap: bytes, name: bytes) -> list[bytes]:
+    return [x.partition(b"end" + name)[0] for x in cmap.split(b"begin" + name)[1:]]
+
+
 def code_map(cmap: bytes) -> CodeMap:
     """Characters by code, of the single entries and both kinds of ranges."""
     out: CodeMap = {}
-    for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+    for part in _sections(cmap, b"bfchar"):
         for code, to in re.findall(_HEX + rb"\s*" + _HEX, part):
             out[int(code, 16)] = _utf16(to).decode("utf-16-be", "replace")
-    for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+    for part in _sections(cmap, b"bfrange"):
         for m in re.finditer(_HEX + rb"\s*" + _HEX + rb"\s*(?:\[([^\]]*)\]|" + _HEX + rb")", part):
             low, high = int(m[1], 16), int(m[2], 16)
             if m[3] is not None:
@@ -104,7 +108,7 @@ def font_maps(data: bytes) -> dict[str, CodeMap]:
             else:
                 opened = re.compile(rb"\s*(?=<<)").match(obj, m.end())
                 fonts = _dictionary(obj, opened.end()) if opened else b""
-            for name, number in re.findall(rb"/([A-Za-z0-9#+._-]+)" + _REFERENCE, fonts):
+            for name, number in re.findall(rb"/([\w#+.-]+)" + _REFERENCE, fonts):
                 if int(number) in maps:
                     named.setdefault(name.decode("latin-1"), maps[int(number)])
     if maps and not named and len(maps) == 1:

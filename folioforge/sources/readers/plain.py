@@ -7,9 +7,12 @@ import io
 import json
 
 
+ENCODINGS = "utf-8-sig", "cp1252"
+
+
 def decode(data: bytes) -> str:
     """UTF-8 with or without a byte order mark, else Windows-1252, else Latin-1, which takes any bytes."""
-    for name in ("utf-8-sig", "cp1252"):
+    for name in ENCODINGS:
         try:
             return data.decode(name)
         except UnicodeDecodeError:
@@ -49,5 +52,5 @@ def read_json(data: bytes) -> str:
         elif isinstance(node, list):
             todo += [(f"{path}[{k}]", node[k]) for k in range(len(node) - 1, -1, -1)]
         elif node is not None:
-            out.append(f"{path}: {node}" if path else str(node))
+            out.append(": ".join(filter(None, (path, str(node)))) if str(node) else f"{path}: " * bool(path))
     return "\n".join(out)

@@ -28,7 +28,7 @@ SKIPPED = {
     }.items()
     for x in names.split()
 }
-_MAIL_SIGNS = (b"from:", b"subject:", b"message-id:", b"received:", b"mime-version:")
+_MAIL_SIGNS = [f"{x}:".encode() for x in "from received subject message-id mime-version".split()]
 
 
 def _suffix(name: str) -> str:

@@ -12,10 +12,12 @@ import os
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 from .limits import LIMITS, MB, ArchiveTooLarge, Budget, Limits, read_member
 from .sniff import office_format, skip_reason
 
+_DAMAGE = (OSError, RuntimeError, ValueError, zipfile.BadZipFile)
 _TOOLING = frozenset(".git .hg .svn .tox .mypy_cache .pytest_cache .ruff_cache __pycache__".split())
 
 
@@ -50,7 +52,7 @@ class Unit:
 
 
 def _reason_to_pass(root: str, name: str) -> tuple[str, str] | None:
-    if name in _TOOLING or os.path.isfile(os.path.join(root, name, "pyvenv.cfg")):
+    if name in _TOOLING or Path(root, name, "pyvenv.cfg").is_file():
         return "excluded_directory", "a folder of tools"
     return ("hidden_directory", "a hidden folder") if name.startswith(".") else None
 
@@ -114,7 +116,7 @@ class ArchiveWalk:
     def units(self, container: str | bytes, prefix: str, depth: int = 0) -> Iterator[Unit]:
         try:
             zf = zipfile.ZipFile(io.BytesIO(container) if isinstance(container, bytes) else container)
-        except (zipfile.BadZipFile, OSError, RuntimeError):
+        except _DAMAGE:
             if isinstance(container, bytes):
                 yield Unit(prefix, "skip", self.top, reason="unreadable", detail="a damaged archive in an archive")
             else:
@@ -142,7 +144,7 @@ class ArchiveWalk:
         try:
             with zf.open(info) as f:
                 head = f.read(1024)
-        except (zipfile.BadZipFile, OSError, RuntimeError, ValueError):
+        except _DAMAGE:
             head = b""
         data = None
         if head.startswith(b"PK"):
@@ -150,7 +152,7 @@ class ArchiveWalk:
                 data = read_member(zf, info, self.budget, most)
             except ArchiveTooLarge as e:
                 unit.reason, unit.detail = "archive_bomb", str(e)
-            except (zipfile.BadZipFile, OSError, RuntimeError) as e:
+            except _DAMAGE as e:
                 unit.reason, unit.detail = "unreadable", f"{type(e).__name__}: {e}"
         self.members += 1
         if unit.reason is None and data is not None:
