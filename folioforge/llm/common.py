@@ -7,7 +7,7 @@ all word windows of all its documents. A document longer than a block makes a bl
 from __future__ import annotations
 
 import atexit
-import os
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -135,7 +135,19 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def sub_batches(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that a worker holds the texts of few as Python objects; at the end of its task
+    the worker gives its free memory back, as it may wait for long while the executor needs it."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        del b
+        pa.default_memory_pool().release_unused()
+    _trim()
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, materialize, mixed, only, powers, text_bytes
+from .common import Words, blocks, materialize, mixed, only, pieces, powers, text_bytes
 
 
 _EDGES = ("e0", "e1", "e2", "e3")
@@ -62,7 +62,7 @@ def _pair(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
 
 def _lines(min_words: int):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             row, line, n, d, halves = [], [], [], [], []
 
             def flush() -> pa.RecordBatch:
@@ -90,7 +90,7 @@ def _lines(min_words: int):
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         out: list[tuple] = []
         for doc, text, wanted in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
             lines = text.split(b"\n")
@@ -104,7 +104,7 @@ def _neighbourhood(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     A line's key is a polynomial in its words' hashes, so the key without a word comes from two sums: the keys of a line
     of n words take time in proportion to n."""
-    for batch in batches:
+    for batch in pieces(batches, 2000):
         texts = batch.column(1).to_pylist()
         for lo, hi in blocks(texts, 1 << 18):
             w = Words(texts[lo:hi])
