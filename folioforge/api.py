@@ -93,7 +93,7 @@ class ReadArchive:
 def register_sql(spark: SparkSession) -> None:
     """Registers the data source, ``extract_text`` (content, name), ``read_archive`` (path), and, as SQL functions inside Catalyst,
     ``classify_value`` (value) and ``find_<kind>`` (text)."""
-    from .functions.detectors import DETECTORS
+    from .functions.detectors import DETECTORS, SHARE
     from .sources.documents import register
 
     register(spark)
@@ -105,5 +105,6 @@ def register_sql(spark: SparkSession) -> None:
         if d.accepts is not None:
             found = f"filter({found}, m -> m rlike '(?U)\\\\d')"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION find_{d.name}(text STRING) RETURNS ARRAY<STRING> RETURN {found}")
-    named = " ".join(f"WHEN length(get(find_{d.name}(value), 0)) >= 0.6D * length(trim(value)) THEN '{d.name}'" for d in DETECTORS)
+    least = f"{SHARE}D * length(regexp_replace(value, '(?U)^[\\\\s]+|[\\\\s]+$', ''))"
+    named = " ".join(f"WHEN length(get(find_{d.name}(value), 0)) >= {least} THEN '{d.name}'" for d in DETECTORS)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION classify_value(value STRING) RETURNS STRING RETURN CASE {named} ELSE 'text' END")

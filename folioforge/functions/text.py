@@ -39,6 +39,11 @@ def normalize_label(c: Column | str) -> Column:
     return F.lower(strip(F.regexp_replace(one_spaced, ":+$", "")))
 
 
+def holds(query: str, *columns: Column | str) -> Column:
+    """Whether a row's columns, joined by spaces, hold the query, whatever its case."""
+    return F.contains(F.lower(F.concat_ws(" ", *map(_col, columns))), F.lit(query.lower()))
+
+
 def basename(c: Column | str) -> Column:
     """Last part of a label: after the last ``!`` (archive member) and the last slash of either kind."""
     member = F.element_at(F.split(_col(c), "!"), -1)

@@ -110,11 +110,13 @@ def common_labels(docs: DataFrame, key: str = "ordinal", text: str = "text", min
     return sorted(r.label for r in counts.filter(F.col("count") / F.lit(float(max(total, 1))) >= min_support).select("label").collect())
 
 
-def infer_schema(docs: DataFrame, key: str = "ordinal", text: str = "text", min_support: float = MIN_SUPPORT, max_fields: int = MAX_FIELDS, known: Sequence[str] | None = None) -> DataFrame:
+def infer_schema(docs: DataFrame, key: str = "ordinal", text: str = "text", min_support: float = MIN_SUPPORT, max_fields: int = MAX_FIELDS, known: Sequence[str] | None = None, sample: int | None = None) -> DataFrame:
     """The columns that a corpus proposes: label, support, ratio, kind, example; most supported first, on ties the first seen.
 
-    The key orders the documents. Labels are counted, typed and exemplified in aggregates by label; only labels that have the
+    ``sample`` looks at so many documents only, the first by key: a quick proposal, as a person waits for it. The key orders the
+    documents. Labels are counted, typed and exemplified in aggregates by label; only labels that have the
     support are left when the ranking comes."""
+    docs = docs if sample is None else docs.select(key, text).orderBy(key).limit(sample)
     docs = _texts(docs, key, text)
     known = common_labels(docs, key, text, min_support) if known is None else known
     total = docs.agg(F.count(F.lit(1)).alias("total"))

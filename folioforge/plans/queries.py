@@ -90,6 +90,11 @@ def schema_max_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.infer_schema(invoices.documents(spark, sf_dir), max_fields=2)
 
 
+@_query(_SCHEMA.replace("FROM orders JOIN", "FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 60) JOIN"))
+def schema_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.infer_schema(invoices.documents(spark, sf_dir), sample=60)
+
+
 @_query("""WITH d AS (SELECT o_orderkey, o_orderstatus AS s, 'C-' || o_custkey AS v FROM orders), n AS (SELECT count(*) AS n FROM d),
 p AS (SELECT 'client code' AS label, o_orderkey, v FROM d UNION ALL SELECT 'status ' || lower(s), o_orderkey, v FROM d)
 SELECT label, count(*) AS support, round_even(count(*) / max(n.n)::double, 3) AS ratio, 'identifier' AS kind, arg_min('AB-' || v, o_orderkey) AS example
@@ -145,9 +150,11 @@ _query(_found_sql(rf"regexp_extract_all({_ASCII}, '(?:^|[^0-9])((?:\+1[\s.-]?)?\
 _query(_found_sql(rf"list_filter(regexp_extract_all({_ASCII}, '\b[A-Z0-9][A-Z0-9]+(?:-[A-Z0-9]+)+\b'), lambda x: regexp_matches(x, '\d'))"), "find_identifiers")(_found("identifier"))
 _query(_found_sql(r"regexp_extract_all(text, 'https?://[^\s<>\x22]+')"), "find_urls")(_found("url"))
 _query(_found_sql(rf"regexp_extract_all({_ASCII}, '\b\d\d\d\d-\d\d-\d\d\b')"), "find_dates")(_found("date_iso"))
-_query(None, "find_emails")(_found("email"))
-_query(None, "find_percents")(_found("percent"))
-_query(None, "find_money")(_found("money"))
+# an underscore is a word character too, and none of these tables' addresses has one
+_UNDERSCORED = r"regexp_replace(text, '[^\x00-\x7F]', '_', 'g')"
+_query(_found_sql(rf"regexp_extract_all({_UNDERSCORED}, '\b[A-Za-z0-9.%+-]{{1,64}}@[A-Za-z0-9.-]{{1,255}}\.[A-Za-z]{{2,}}\b')"), "find_emails")(_found("email"))
+_query(_found_sql(rf"regexp_extract_all({_ASCII}, '(?:^|[^\w.])(\d{{1,3}}(?:\.\d+)?\s?%)', 1)"), "find_percents")(_found("percent"))
+_query(_found_sql(r"regexp_extract_all(text, '(?:^|[^\w.])([$£€]\s?\d{1,3}(?:,\d{3})*(?:\.\d{2})?)(?:$|\W)', 1)"), "find_money")(_found("money"))
 
 
 @_query(f"""WITH {_INVOICE} SELECT ordinal, CAST(ordinal AS varchar) AS number, day FROM inv""")
@@ -317,6 +324,12 @@ def recall_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.distribution(_recalls(spark, sf_dir)).withColumn("mean", F.round("mean", 9))
 
 
+@_query("SELECT doc_id FROM documents WHERE contains(lower(source || ' ' || text), 'license, v')")
+def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return docs.filter(text.holds("License, V", "source", "text")).select("doc_id")
+
+
 # --- versions
 
 

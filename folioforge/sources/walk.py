@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -97,6 +98,22 @@ def list_items(paths: list[str]) -> Iterator[Item]:
             yield _file(path)
 
 
+def merge_paths(paths: list[str]) -> list[str]:
+    """The paths without those that lie in another of them, or are given twice."""
+    real = {p: os.path.realpath(p) for p in dict.fromkeys(paths)}
+    kept: dict[str, str] = {}
+    for p, r in real.items():
+        inside = any(r.startswith(q.rstrip(os.sep) + os.sep) for q in real.values() if q != r)
+        if not inside and r not in kept:
+            kept[r] = p
+    return list(kept.values())
+
+
+def parse_dropped(payload: str) -> list[str]:
+    """Paths of a dropped list: those with spaces stand in braces."""
+    return [a or b for a, b in re.findall(r"\{([^}]*)\}|(\S+)", payload)]
+
+
 def _file(path: str) -> Item:
     try:
         return Item(path, os.stat(path).st_size)
