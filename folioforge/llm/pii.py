@@ -46,6 +46,12 @@ def _luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(c), 10)) for c in even)) % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    value = digits.lstrip("0")
+    return len(value) < 3 or len(value) == 3 and int(value) <= 255
+
+
 def patterns(text: str) -> list[tuple[str, int, int]]:
     """Spans of the fixed patterns, by kind, then start."""
     out: list[tuple[str, int, int]] = []
@@ -60,7 +66,7 @@ def patterns(text: str) -> list[tuple[str, int, int]]:
             upto = m.end()
         at = text.find("@", max(at + 1, upto))
     if re.search("[0-9]", text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_byte(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16 and 16 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and _luhn(d):
                 out.append(("card", *m.span()))
@@ -246,7 +252,7 @@ def _holds(kind: str, value: str) -> bool:
     if kind == "email":
         return len(value) <= 254 and bool(_ADDRESS.fullmatch(value) or _SPELLED.fullmatch(value))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", value)) and all(int(p[:9]) <= 255 for p in value.split("."))
+        return bool(re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", value)) and all(map(_byte, value.split(".")))
     return 16 <= len(digits) <= 19 and _luhn(digits)
 
 

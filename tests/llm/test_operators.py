@@ -244,6 +244,10 @@ def test_pii_patterns():
     for _ in range(20_000):
         text = "".join(rng.choice("0123456789..--  @@+()aZ_%é") for _ in range(rng.randint(0, 45)))
         assert pii.patterns(text) == brute.base_pii(text)
+    zeros = "0" * 9000
+    assert pii.patterns(f"{zeros}1.2.3.255 and {zeros}1.2.3.256") == [("ip", 0, 9009)]
+    for unit in ("1", "a", "a@", "1.", "+1", "1 ", "@", "a.", "1-"):
+        pii.patterns(unit * 60_000)
 
 
 def test_pii_field(spark, empty):
