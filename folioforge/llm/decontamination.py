@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, only, runs, text_bytes
+from .common import Words, blocks, only, pieces, runs, text_bytes
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
@@ -92,7 +92,7 @@ def _scan_block(documents: DataFrame, grams: NGrams) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(grams)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = text_bytes(batch.column(2))
             n_words, spans, found = [], [], []
             for a, b in blocks(texts):
@@ -166,7 +166,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, n: int = 10, action: str =
         k = schema.names.index("text")
 
         def apply(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 texts = text_bytes(batch.column(k))
                 dirty = np.zeros(len(texts), bool)
                 for a, b in blocks(texts):
