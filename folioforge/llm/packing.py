@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import TOKENIZER_DIR, only
+from .common import TOKENIZER_DIR, only, pieces
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_RUN = 2000
@@ -197,7 +197,7 @@ def pack(
         end = np.array([end_id], np.uint32)
 
         def sequences() -> Iterator[list[_Piece]]:
-            for b in batches:
+            for b in pieces(batches):
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     yield from packer.add(doc, np.concatenate((token_ids(text, tokenizer_dir, tokenizer), end)) if text else end)
             yield from packer.pack(True)
