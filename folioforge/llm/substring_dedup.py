@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, materialize, only, text_bytes
+from .common import Words, blocks, materialize, only, pieces, text_bytes
 
 SEGMENT = 200_000
 #: Windows in one super-k-mer at most; longer ones (texts of one repeated word) are cut.
@@ -85,7 +85,7 @@ def _segments(texts: list[bytes | None], window: int) -> tuple[list[bytes], list
 
 def _kmers_of(window: int, m: int):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = text_bytes(batch.column(2))
             for a, b in blocks(texts):
                 parts, row, base = _segments(texts[a:b], window)
@@ -108,7 +108,7 @@ def _kmers_of(window: int, m: int):
 
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1).compress
-    for b in batches:
+    for b in pieces(batches):
         z = [pack(b" ".join(t.split()) if t else b"") for t in text_bytes(b.column(2))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["doc_id", "h", "z"])
 
@@ -119,7 +119,7 @@ def _unpack(z: bytes) -> bytes:
 
 def _strings(window: int):
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             cols: list[list] = [[] for _ in range(6)]
             size = 0
             for doc, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -146,7 +146,7 @@ def _count(window: int):
 
     def bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, seen = None, {}
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple] = []
             for mkey, p1, p2, salts, doc, packed, salt in zip(*(c.to_pylist() for c in batch.columns)):
                 if (mkey, salt) != key:
@@ -169,7 +169,7 @@ def _count(window: int):
 
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         n, cut, kept = [], [], []
         for z, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             norm = _unpack(z)
