@@ -24,10 +24,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, only, pieces, runs, text_bytes
+from .common import Words, blocks, materialize, only, pieces, runs, text_bytes
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
@@ -75,21 +76,20 @@ class NGrams:
         return np.cumsum(hit[:-1]) > 0, items
 
 
-def _blocks_of(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[NGrams]:
+def _blocks_of(benchmark: DataFrame, n: int, block_bytes: int) -> tuple[int, Iterator[NGrams]]:
+    """The number of blocks, and the blocks, each made when it is asked for."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     count = max(1, -(-size // block_bytes))
-    for k in range(count):
-        part = items if count == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        yield NGrams(((r.item_id, r.text) for r in part.toLocalIterator()), n)
+    parts = [items] if count == 1 else [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) for k in range(count)]
+    return count, (NGrams(((r.item_id, r.text) for r in part.toLocalIterator()), n) for part in parts)
 
 
 def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _scan_block(documents: DataFrame, grams: NGrams) -> DataFrame:
-    sent = documents.sparkSession.sparkContext.broadcast(grams)
+def _scan_block(documents: DataFrame, sent: Broadcast) -> DataFrame:
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -124,15 +124,19 @@ def _result(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: its words, its hit words, the items whose windows occur in it."""
     documents = only(documents, "doc_id", "text")
-    parts = [_scan_block(documents, g) for g in _blocks_of(benchmark, n, block_bytes)]
-    if len(parts) == 1:
-        merged = parts[0].select("doc_id", "n_words", "spans", "items")
+    sc = documents.sparkSession.sparkContext
+    count, found = _blocks_of(benchmark, n, block_bytes)
+    if count == 1:
+        merged = _scan_block(documents, sc.broadcast(next(found))).select("doc_id", "n_words", "spans", "items")
     else:
-        # equal rows have equal results in every block: each block's count of a row gives its copies back
-        keyed = [p.groupBy("doc_id", "h", "n_words", "spans", "items").agg(F.count(F.lit(1)).alias("copies")) for p in parts]
-        every = keyed[0]
-        for p in keyed[1:]:
-            every = every.unionByName(p)
+        every = None
+        for grams in found:
+            # equal rows have equal results in every block: each block's count of a row gives its copies back. A block's result
+            # is written before the next block is made, so that the driver holds one at a time
+            sent = sc.broadcast(grams)
+            part = materialize(_scan_block(documents, sent).groupBy("doc_id", "h", "n_words", "spans", "items").agg(F.count(F.lit(1)).alias("copies")), "block-hits")
+            sent.destroy()
+            every = part if every is None else every.unionByName(part)
         merged = every.groupBy("doc_id", "h", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.max("copies").alias("copies"))
         merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_words", "spans", "items")
     return merged.mapInArrow(_result, SCAN_SCHEMA)
@@ -161,7 +165,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, n: int = 10, action: str =
     if action not in ("drop", "remove"):
         raise ValueError(f"action is drop or remove, not {action!r}")
     schema, out = documents.schema, documents
-    for grams in _blocks_of(benchmark, n, block_bytes):
+    count, found = _blocks_of(benchmark, n, block_bytes)
+    for grams in found:
         sent = documents.sparkSession.sparkContext.broadcast(grams)
         k = schema.names.index("text")
 
@@ -181,4 +186,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, n: int = 10, action: str =
                     yield batch
 
         out = out.mapInArrow(apply, schema)
+        if count > 1:
+            out = materialize(out, "block-cleaned")
+            sent.destroy()
     return out

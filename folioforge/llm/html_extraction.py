@@ -205,7 +205,7 @@ def main_text(page: str, fixed: frozenset[int] | set[int]) -> str:
     return " ".join(filter(None, (b.text() for b in slots)))
 
 
-def extract(pages: DataFrame, share: float = 0.9, min_pages: int = 8, broadcast_tokens: int = 2_000_000) -> DataFrame:
+def extract(pages: DataFrame, share: float = 0.9, min_pages: int = 8, broadcast_tokens: int = 500_000) -> DataFrame:
     """page_id, url and the main text of each page."""
     docs = _pages(pages)
     found = templates(pages, share, min_pages)
