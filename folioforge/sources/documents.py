@@ -61,7 +61,7 @@ def rows_of(item: Item, major: int, text: bool, state: bool, content: bool, arch
                 out = read(data, unit.name, unit.label.rpartition("/")[2])
             except Exception as e:  # noqa: BLE001
                 out = Outcome("", "", *reason_of(e))
-        if content and data is None and (unit.info is not None or unit.reason is None or unit.kind == "file" or (unit.files is None and unit.top is None)):
+        if content and data is None and unit.files is None:
             try:
                 data = _bytes(unit, walk)
             except Exception:  # noqa: BLE001 - an original that can't be read isn't archived
