@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import common, decontamination, html_extraction, language_id, line_dedup, packing, pii, quality, secrets_scan, simhash, substring_dedup
+from folioforge.llm import common, decontamination, html_extraction, language_id, line_dedup, near_copies, packing, pii, quality, secrets_scan, simhash, substring_dedup
 
 from . import brute
 
@@ -58,6 +58,35 @@ def test_simhash_keeps_one(docs):
     assert ids.count(None) == sum(d is None for d, _ in ROWS)
 
 
+def test_near_copies(spark, docs, empty):
+    rng = random.Random(2)
+    rows = []
+    for k in range(60):
+        w = [rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(rng.choice([3, 30, 60, 120, 300]))]
+        rows.append((10 * k, " ".join(w)))
+        for i in range(rng.randrange(4)):
+            w = list(w)
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(len(w))] = "new"
+            rows.append((10 * k + i + 1, " ".join(w)))
+    rows += [(5000, rows[0][1]), (10, "another text under a taken number"), (5001, None), (5002, " ")]
+    sets = [near_copies.shingle_set((t or "").lower().encode(), 5) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {min((rows[i][0], rows[i][1] or "") for i in range(len(rows)) if group[i] == g) for g in set(group)}
+    assert 80 < len(want) < len(rows) - 20
+    df = spark.createDataFrame([(*r, k) for r in rows for k in (2, 1)] + [(None, rows[0][1], 3)], "doc_id long, text string, k int").repartition(3)
+    found = near_copies.keep_one(df)
+    assert found.columns == df.columns
+    assert sorted((r.doc_id, r.text or "", r.k) for r in found.collect() if r.doc_id is not None) == sorted((*x, 1) for x in want)
+    assert found.filter("doc_id is null").count() == 1
+    assert near_copies.keep_one(empty).count() == 0
+    assert near_copies.keep_one(docs).columns == docs.columns
+
+
 def test_golay_code_covers():
     cover, rng = simhash._Cover(2), np.random.default_rng(3)
     x = rng.integers(0, 2**64, 500, dtype=np.uint64)

@@ -80,3 +80,12 @@ def test_queries_return_their_columns(spark, sf_dir, name):
     assert len(rows) >= (5 if name.startswith("op6") else 100)
     if "base_sha256" in found.columns:
         assert {r.base_sha256 for r in rows if not r.spans} <= {brute.sha("")}
+
+
+def test_near_dedup_leaves_no_near_copy(spark, sf_dir):
+    """Copies with a few words changed differ in more than two bits of a fingerprint."""
+    rng = random.Random(4)
+    w = [rng.choice("abcdefgh") + str(rng.randrange(1000)) for _ in range(200)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:50], "other", *w[51:]])), (3, " ".join([*w[:90], "other", *w[91:150], "words", *w[151:]])), (4, " ".join(reversed(w)))]
+    docs = spark.createDataFrame([(*r, "en", None, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r[0] for r in rows_of(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir))) == [1, 4]
