@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import os
 import shutil
 import tempfile
 import uuid
@@ -21,36 +22,67 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass takes at a time.
 BLOCK_BYTES = 1 << 20
 
-#: Folder of the vocabulary files; every operator that reads one has it as a parameter.
-TOKENIZER_DIR = "/opt/tokenizers"
+#: Tables in the shared folder, in the order in which they were written.
+_TABLES: list[str] = []
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """The place of a vocabulary file: in ``folder``, or where the installed package of public tokenizers has it."""
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); where it is unset, a new local one (tests)."""
+    """The folder that all executors share (``spark.checkpoint.dir``). Where it is unset, a local run gets a new one; on a
+    cluster that is an error, as each executor would write to a disk of its own."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folioforge-")
         atexit.register(shutil.rmtree, base[7:], True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it again: a lost executor costs no recomputation, and
-    nothing that follows evaluates the plan twice."""
+    nothing that follows evaluates the plan twice. The table goes with the session, or before by ``delete_tables``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), True)
+    fs, place = _file_system(spark, path)
+    fs.deleteOnExit(place)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_so_far() -> int:
+    return len(_TABLES)
+
+
+def delete_tables(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the tables written after the first ``since``, but for the last ``keep``: for one whose next plan reads only those."""
+    gone = _TABLES[since : len(_TABLES) - keep]
+    for path in gone:
+        fs, place = _file_system(spark, path)
+        fs.delete(place, True)
+    del _TABLES[since : len(_TABLES) - keep]
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns and no others, so that further columns of the input can't clash with the operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import delete_tables, materialize, tables_so_far
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def components(links: DataFrame) -> DataFrame:
     """``links`` has the columns u and v (of one ordered type, none null). Returns node and root, the least node
     reachable, for every node with a link. Each round writes its edges to the shared folder; a star around a hub has one
     row per leaf, and every join has one row per node on one side, so a hub's leaves can be split among tasks."""
+    spark, since = links.sparkSession, tables_so_far()
     edges, before = materialize(links.filter("u <> v").distinct(), "links"), None
     while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
@@ -32,3 +33,4 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         edges = materialize(_small_star(_large_star(edges)), "links")
+        delete_tables(spark, since)

@@ -5,11 +5,10 @@ language whose dictionary makes it smallest is chosen. Texts are encoded in piec
 longer text would teach the compressor its own language, whatever the dictionary. Where the two smallest sizes differ
 by less than ``min_margin``, the choice is rejected.
 
-Fitting uses a bounded sample: of each of at most ``max_languages`` labels (the most frequent), at most ``samples``
-documents, spread by a hash of doc_id, and of each a part of at most ``sample_chars`` characters at a hashed place. So
-``max_languages * samples * sample_chars`` characters reach the driver at most (102 million at the defaults, 2 million for
-four languages), and the dictionaries have ``dictionary_bytes`` each. Samples that another language's dictionary encodes
-smaller are left out of the final dictionaries.
+Fitting uses a bounded sample: of each label at most ``samples`` documents, spread by a hash of doc_id, and of each a part of
+at most ``sample_chars`` characters at a hashed place. All labels are learned; with many, each has fewer documents (one
+at least), so that about ``most_chars`` characters reach the driver (2 million for four languages), and smaller dictionaries than
+``dictionary_bytes``. Samples that another language's dictionary encodes smaller are left out of the final dictionaries.
 
 Nulls: a null text, and one without a letter, is ``und`` with score 0; null labels and null doc_ids are never learned
 from. With no labels at all every text is ``und``. Repeated rows each give a row. An empty table gives an empty result.
@@ -84,16 +83,18 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     return b"".join(s[:share] for s in samples)[-size:]
 
 
-def fit(labelled: DataFrame, samples: int = 256, sample_chars: int = 2000, max_languages: int = 200, dictionary_bytes: int = 1 << 18) -> Model:
+def fit(labelled: DataFrame, samples: int = 256, sample_chars: int = 2000, dictionary_bytes: int = 1 << 18, most_chars: int = 100_000_000) -> Model:
     """``labelled`` has doc_id, text and lang."""
     rows = only(labelled, "doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not langs:
         return Model({})
+    samples = max(1, min(samples, most_chars // (sample_chars * len(langs))))
+    dictionary_bytes = max(sample_chars, min(dictionary_bytes, most_chars // len(langs)))
     h = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     start = F.pmod(h, F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1) + 1
     part = F.substring(F.col("text"), start.cast("int"), F.lit(sample_chars))
-    picked = rows.filter(F.col("lang").isin(langs)).select("lang", F.pmod(h, F.lit(samples)).alias("bucket"), F.struct(F.xxhash64(F.lit("order"), F.col("doc_id")).alias("o"), part.alias("part")).alias("s"))
+    picked = rows.select("lang", F.pmod(h, F.lit(samples)).alias("bucket"), F.struct(F.xxhash64(F.lit("order"), F.col("doc_id")).alias("o"), part.alias("part")).alias("s"))
     found: dict[str, list[bytes]] = {lang: [] for lang in langs}
     for r in sorted(picked.groupBy("lang", "bucket").agg(F.min("s").alias("s")).collect(), key=lambda r: (r.lang, r.bucket)):
         found[r.lang].append(letters(r.s.part))

@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is its words, with A-Z lower-cased. A line of at least ``min_words`` words is removed if an earlier line (by
-doc_id, then place) has the same words. A line of at least ``near_words`` words is also removed if an earlier one of at
-least as many is within an edit distance of one word: a word changed, added or left out. Earlier lines count whether or
-not they are removed themselves, so the result doesn't depend on any order of work. Shorter lines always stay.
+A line is its words, with A-Z lower-cased. A line of at least ``min_words`` words (one, so all that have a word) is removed if
+an earlier line (by doc_id, then place) has the same words. A line of at least ``near_words`` words is also removed if an
+earlier one of at least as many is within an edit distance of one word: a word changed, added or left out (of five words
+one is a fifth; in shorter lines it would be more). Earlier lines count whether or not they are removed themselves, so the
+result doesn't depend on any order of work. Lines without a word always stay.
 
 1. One pass over the texts makes a row of digests per line. Equal lines are aggregated before the shuffle; the first
    of each stands for all.
@@ -60,29 +61,35 @@ def _pair(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(both[:, 0]), pa.array(both[:, 1])
 
 
-def _lines(min_words: int):
+def _lines(min_words: int, near_words: int):
+    """A row of digests per line; the halves are null where only equal lines are looked for."""
+
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            row, line, n, d, halves = [], [], [], [], []
+            row, line, d, near, halves = [], [], [], [], []
 
             def flush() -> pa.RecordBatch:
                 d1, d2 = _pair(d)
-                edges = np.frombuffer(b"".join(halves), np.int64).reshape(-1, 4)
+                edges = np.zeros((len(row), 4), np.int64)
+                edges[near] = np.frombuffer(b"".join(halves), np.int64).reshape(-1, 4)
+                none = np.ones(len(row), bool)
+                none[near] = False
                 rows = pa.array(row, pa.int64())
-                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line, pa.int32()), pa.array(n, pa.int32()), d1, d2, *(pa.array(edges[:, k]) for k in range(4))], names=["doc_id", "h", "line", "n", "d1", "d2", *_EDGES])
+                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line, pa.int32()), d1, d2, *(pa.array(edges[:, k], mask=none) for k in range(4))], names=["doc_id", "h", "line", "d1", "d2", *_EDGES])
 
             for i, text in enumerate(text_bytes(batch.column(2))):
                 for k, x in enumerate(text.split(b"\n")):
                     w = x.lower().split()
                     if len(w) >= min_words:
+                        if len(w) >= near_words:
+                            near.append(len(row))
+                            halves.append(_halves(w))
                         row.append(i)
                         line.append(k)
-                        n.append(len(w))
                         d.append(_digest(b" ".join(w)))
-                        halves.append(_halves(w))
                         if len(row) >= 20_000:
                             yield flush()
-                            row, line, n, d, halves = [], [], [], [], []
+                            row, line, d, near, halves = [], [], [], [], []
             if row:
                 yield flush()
 
@@ -141,16 +148,16 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def removals(documents: DataFrame, min_words: int = 5, near_words: int = 8, broadcast_lines: int = 500_000) -> DataFrame:
+def removals(documents: DataFrame, min_words: int = 1, near_words: int = 5, broadcast_lines: int = 500_000) -> DataFrame:
     """doc_id, h (hash of the text) and the numbers of the lines to remove, for each document that has any."""
     if not 1 <= min_words <= near_words or near_words < 4:
         raise ValueError("near_words is at least 4 and min_words")
     docs = only(documents, "doc_id", "text").filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    lines = materialize(docs.mapInArrow(_lines(min_words), "doc_id bigint, h bigint, line int, n int, d1 bigint, d2 bigint, e0 bigint, e1 bigint, e2 bigint, e3 bigint"), "lines")
+    lines = materialize(docs.mapInArrow(_lines(min_words, near_words), "doc_id bigint, h bigint, line int, d1 bigint, d2 bigint, e0 bigint, e1 bigint, e2 bigint, e3 bigint"), "lines")
     first = lines.select("doc_id", "h", "line", "d1", "d2").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "h")).alias("f"))
 
     # copies of a line share its halves, so they are made one row first
-    edges = lines.filter(F.col("n") >= near_words).select("d1", "d2", *_EDGES).distinct().select("d1", F.explode(F.array(*_EDGES)).alias("edge"))
+    edges = lines.filter("e0 is not null").select("d1", "d2", *_EDGES).distinct().select("d1", F.explode(F.array(*_EDGES)).alias("edge"))
     met = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("edge")
     some = edges.join(met, "edge").select("d1").distinct()
     wanted = first.join(some, "d1").groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.h").alias("h")).agg(F.collect_list(F.struct(F.col("f.line").alias("line"), "d1", "d2")).alias("wanted"))
@@ -174,7 +181,7 @@ def removals(documents: DataFrame, min_words: int = 5, near_words: int = 8, broa
     return gone.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup(documents: DataFrame, min_words: int = 5, near_words: int = 8, n_lines: str = "n_lines", n_removed: str = "n_removed", broadcast_lines: int = 500_000) -> DataFrame:
+def dedup(documents: DataFrame, min_words: int = 1, near_words: int = 5, n_lines: str = "n_lines", n_removed: str = "n_removed", broadcast_lines: int = 500_000) -> DataFrame:
     """The documents with all their columns, their texts without the removed lines, and two counts."""
     gone = removals(documents, min_words, near_words, broadcast_lines).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
     found = documents.join(gone, (documents["doc_id"] == gone["__doc"]) & (F.xxhash64(documents["text"]) == gone["__h"]), "left")

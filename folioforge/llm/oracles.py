@@ -36,13 +36,13 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10))
 x AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS k FROM d),
 l AS (SELECT r, line, k, doc_id::hugeint * 1000000000 + k AS pos,
     regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM x),
-f AS (SELECT array_to_string(w, ' ') AS s, any_value(w) AS w, len(any_value(w)) AS n, min(pos) AS fst FROM l WHERE len(w) >= 5 GROUP BY 1),
-v AS (SELECT s, n, fst, i, array_to_string(w[:i - 1] || w[i + 1:], ' ') AS less FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 8)),
+f AS (SELECT array_to_string(w, ' ') AS s, any_value(w) AS w, len(any_value(w)) AS n, min(pos) AS fst FROM l WHERE len(w) >= 1 GROUP BY 1),
+v AS (SELECT s, n, fst, i, array_to_string(w[:i - 1] || w[i + 1:], ' ') AS less FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 5)),
 sub AS (SELECT n, i, less, min(fst) AS least FROM v GROUP BY ALL HAVING count(*) > 1),
 near AS (SELECT v.s FROM v JOIN sub ON sub.n = v.n AND sub.i = v.i AND sub.less = v.less WHERE v.fst > sub.least
-    UNION SELECT v.s FROM v JOIN f ON f.s = v.less AND f.n >= 8 WHERE f.fst < v.fst
-    UNION SELECT f.s FROM f JOIN v ON v.less = f.s WHERE f.n >= 8 AND v.fst < f.fst),
-g AS (SELECT l.r, l.k, l.line, len(l.w) >= 5 AND (l.pos > f.fst OR near.s IS NOT NULL) AS gone
+    UNION SELECT v.s FROM v JOIN f ON f.s = v.less AND f.n >= 5 WHERE f.fst < v.fst
+    UNION SELECT f.s FROM f JOIN v ON v.less = f.s WHERE f.n >= 5 AND v.fst < f.fst),
+g AS (SELECT l.r, l.k, l.line, len(l.w) >= 1 AND (l.pos > f.fst OR near.s IS NOT NULL) AS gone
     FROM l LEFT JOIN f ON f.s = array_to_string(l.w, ' ') LEFT JOIN near ON near.s = f.s),
 k AS (SELECT r, string_agg(line, chr(10) ORDER BY k) FILTER (NOT coalesce(gone, false)) AS text, count(*) AS n_lines, count(*) FILTER (coalesce(gone, false)) AS n_removed FROM g GROUP BY r)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.ls IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS kept_sha256 FROM d LEFT JOIN k ON k.r = d.r

@@ -11,9 +11,10 @@ Each task packs the documents it reads, in buffers of about ``buffer_tokens``: n
 unbounded, and a lost task repeats with the same result, as its input split, its order and so its sequence ids are
 fixed. Padding is at most one sequence per task.
 
-Ids: tiktoken with the byte-level vocabulary's ranks gives the ids that ``tokenizers`` gives with its JSON file (tests
-compare them) in about a seventh of its time; texts with a run of letters of over ``LONG_RUN`` bytes, where its merging is
-slow, go to ``tokenizers`` itself. Strings of special tokens in a text are ordinary text.
+Ids are those of ``tokenizers`` with its JSON file, as it comes: the string of a special token in a text is that token's
+id. tiktoken with the same vocabulary as ranks gives the same ids (tests compare them) in about a seventh of the time;
+texts that hold a special token's string, or a run of over ``LONG_RUN`` characters where its merging is slow, go to
+``tokenizers`` itself.
 
 Nulls: a null text is an empty one, which is the end id alone; a null doc_id is kept. Repeated rows are packed each on
 its own. An empty table gives an empty result. Further columns are ignored. The length of a text is not limited.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import TOKENIZER_DIR, only, pieces
+from .common import only, pieces, tokenizer_path
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_RUN = 2000
@@ -52,18 +53,20 @@ def ranks_encoder(path: str):
 
 @cache
 def json_encoder(path: str):
+    """The tokenizer, and what finds the strings of its special tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    special = [x.content for x in t.get_added_tokens_decoder().values()]
+    return t, re.compile("|".join(map(re.escape, special)) if special else r"(?!)")
 
 
-def token_ids(text: str, folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k") -> np.ndarray:
-    if _LONG.search(text):
-        return np.array(json_encoder(f"{folder}/{name}.json").encode(text, add_special_tokens=False).ids, np.uint32)
-    return ranks_encoder(f"{folder}/{name}.tiktoken").encode_to_numpy(text, disallowed_special=())
+def token_ids(text: str, folder: str | None = None, name: str = "byte_bpe_50k") -> np.ndarray:
+    encoder, special = json_encoder(tokenizer_path(f"{name}.json", folder))
+    if special.search(text) or _LONG.search(text):
+        return np.array(encoder.encode(text, add_special_tokens=False).ids, np.uint32)
+    return ranks_encoder(tokenizer_path(f"{name}.tiktoken", folder)).encode_to_numpy(text, disallowed_special=())
 
 
 class _Piece:
@@ -186,7 +189,7 @@ SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 def pack(
     documents: DataFrame, tiers: tuple[int, ...] = (256, 512, 1024, 2048), end_id: int = 1, step_tokens: int = 1 << 15, buffer_tokens: int = 1 << 20,
-    tokenizer_dir: str = TOKENIZER_DIR, tokenizer: str = "byte_bpe_50k", with_ids: bool = False,
+    tokenizer_dir: str | None = None, tokenizer: str = "byte_bpe_50k", with_ids: bool = False,
 ) -> DataFrame:
     """A row per piece: document, first token and length there, checksum, sequence and offset there, tier (the length
     that the sequence is padded to) and step group; with its token ids on demand."""

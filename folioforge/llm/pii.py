@@ -8,8 +8,8 @@ The random field labels tokens as beginning, inside or outside of such a kind, f
 neighbours, whether it touches the one before, and a few cue words. It finds what the patterns leave: phone numbers
 without a country code, spelled-out addresses (name at host dot com). It is trained here, from the small labelled table
 ``labelled_table()`` (or your own), by gradient ascent on the likelihood, and decoded by Viterbi over batches of sequences
-in numpy. Sequences are the neighbourhoods of digits, @ signs and cue words; a token further than ``REACH`` characters from all of these is
-outside. A span of the field is kept if it has what its kind needs (``_holds``) and overlaps no span of the patterns.
+in numpy. Sequences are the neighbourhoods of digits, @ signs and the words at and dot: the words (runs without white space) that
+lie, or begin or end, within ``REACH`` characters of one. Whatever has none of these near is outside, as every kind needs one. A span of the field is kept if it has what its kind needs (``_holds``) and overlaps no span of the patterns.
 
 Nulls: a null text is an empty one; a null doc_id is kept. Repeated rows each give a row. An empty table gives an empty
 result. Further columns are ignored. Texts are scanned whole, in time linear in their length.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -211,32 +212,28 @@ def train(table: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 70,
     emit, move = np.zeros((len(index) + 1, size)), np.zeros((size, size))
     penalty = np.where(_ALLOWED, 0.0, _BAD)
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in (emit, move)]
-    lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
-    last = mask.sum(axis=1) - 1
+    start, later, flat = np.exp(_START), mask[:, 1:], ids[mask].ravel()
     for step in range(1, rounds + 1):
-        x, tr = emit[ids].sum(axis=2), move + penalty
-        alpha, beta = np.zeros((n, most, size)), np.zeros((n, most, size))
-        alpha[:, 0] = x[:, 0] + _START
-        for t in range(1, most):
-            alpha[:, t] = np.where(mask[:, t, None], lse(alpha[:, t - 1, :, None] + tr, 1) + x[:, t], alpha[:, t - 1])
+        x, tr = np.zeros((n, most, size)), np.exp(move + penalty)
+        x[mask] = emit[ids[mask]].sum(axis=1)
+        # forward and backward with each step scaled to a sum of one
+        here = np.exp(x - x.max(axis=2, keepdims=True))
+        alpha, beta, scale = np.zeros((n, most, size)), np.ones((n, most, size)), np.ones((n, most, 1))
+        for t in range(most):
+            a = here[:, t] * (alpha[:, t - 1] @ tr if t else start)
+            scale[:, t] = np.where(mask[:, t, None], a.sum(axis=1, keepdims=True), 1.0)
+            alpha[:, t] = np.where(mask[:, t, None], a / scale[:, t], 0.0)
         for t in range(most - 2, -1, -1):
-            beta[:, t] = np.where(mask[:, t + 1, None], lse(tr + (x[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0.0)
-        z = lse(alpha[np.arange(n), last], 1)
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-        pair = np.zeros((size, size))
-        for t in range(1, most):
-            q = np.exp(alpha[:, t - 1, :, None] + tr + (x[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
-            pair += q[mask[:, t]].sum(axis=0)
+            beta[:, t] = np.where(mask[:, t + 1, None], (here[:, t + 1] * beta[:, t + 1] / scale[:, t + 1]) @ tr.T, 1.0)
+        p = alpha * beta
+        pair = tr * (alpha[:, :-1][later].T @ (here * beta / scale)[:, 1:][later])
         gold = np.zeros_like(p)
         gold[np.arange(n)[:, None], np.arange(most), y] = 1
-        diff = (gold * mask[:, :, None] - p) / n
-        g = np.zeros_like(emit)
-        for f in range(_FEATURES):
-            np.add.at(g, ids[:, :, f].ravel(), diff.reshape(-1, size))
+        diff = ((gold - p) / n)[mask]
+        g = np.stack([np.bincount(flat, np.repeat(diff[:, k], _FEATURES), len(emit)) for k in range(size)], axis=1)
         g[0] = 0
-        both = mask[:, 1:]
         true = np.zeros((size, size))
-        np.add.at(true, (y[:, :-1][both], y[:, 1:][both]), 1)
+        np.add.at(true, (y[:, :-1][later], y[:, 1:][later]), 1)
         grads = (g - decay * emit / 10, np.where(_ALLOWED, (true - pair) / n, 0.0) - decay * move / 10)
         for w, grad, (m1, m2) in zip((emit, move), grads, state):
             m1[...] = 0.9 * m1 + 0.1 * grad
@@ -245,6 +242,12 @@ def train(table: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 70,
     return CRF(index, emit, move + penalty)
 
 
+@cache
+def trained() -> CRF:
+    """The field that ``labelled_table()`` gives, trained once in a process."""
+    return train(labelled_table())
+
+
 def _holds(kind: str, value: str) -> bool:
     digits = _NOT_DIGIT.sub("", value)
     if kind == "phone":
@@ -256,12 +259,23 @@ def _holds(kind: str, value: str) -> bool:
     return 16 <= len(digits) <= 19 and _luhn(digits)
 
 
+_SPACE = re.compile(r"\s")
+
+
 def neighbourhoods(text: str) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
+        if out and m.end() + REACH <= out[-1][1]:
+            continue
         s, e = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        # whole words: an address of any length is seen to its ends
+        while s > (out[-1][1] if out else 0) and not text[s - 1].isspace():
+            s -= 1
+        if e < len(text) and not text[e - 1].isspace():
+            gap = _SPACE.search(text, e)
+            e = gap.start() if gap else len(text)
         if out and s <= out[-1][1]:
-            out[-1][1] = e
+            out[-1][1] = max(e, out[-1][1])
         else:
             out.append([s, e])
     return [(s, e) for s, e in out]
@@ -296,7 +310,7 @@ def tag(texts: list[str], crf: CRF) -> list[list[tuple[str, int, int]]]:
 def scan(documents: DataFrame, crf: CRF | None = None) -> DataFrame:
     """doc_id and the spans of each document: array of structs of kind, start, end and base (found by a pattern), by kind,
     then start."""
-    sent = documents.sparkSession.sparkContext.broadcast(crf or train(labelled_table()))
+    sent = documents.sparkSession.sparkContext.broadcast(crf or trained())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))

@@ -8,8 +8,8 @@ no single rule need pass.
 
 The model is fitted on the counts of vote patterns over all documents that pass the base checks; there are at most
 3 ** rules patterns, whatever the size of the corpus, and only they reach the driver. Its result is a weight per rule
-and vote, so scoring is a sum of literals. Weak priors fix which hidden class is the good one, and a document that no
-rule votes against is always kept.
+and vote, so scoring is a sum of literals. Weak priors fix which hidden class is the good one; nothing overrides the
+posterior.
 
 Features come from one row alone: no row is exploded and no text is shuffled. Where a text repeats many windows of
 words, they are found by a sort, so the cost stays near-linear in its length.
@@ -137,13 +137,12 @@ def verdict(found: DataFrame, model: tuple[float, list[list[float]]], rules: tup
     """Adds p_good (posterior probability) and kept to the features."""
     odds, weights = model
     votes = found.withColumns({f"v_{r.name}": _vote(r) for r in rules})
-    total, against = F.lit(odds), F.lit(False)
+    total = F.lit(odds)
     for r, w in zip(rules, weights):
         v = F.col(f"v_{r.name}")
         total = total + F.when(v == 2, w[2]).when(v == 1, w[1]).otherwise(w[0])
-        against = against | (v == 2)
     votes = votes.withColumn("p_good", F.lit(1.0) / (F.lit(1.0) + F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), total)))))
-    return votes.withColumn("kept", ~F.col("base_failed") & ((F.col("p_good") >= 0.5) | ~against))
+    return votes.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
 
 def score(documents: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "quality") -> DataFrame:

@@ -37,7 +37,7 @@ def _span_digests(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter(of_base, lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, base), F.sha2(_joined(of_base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, base), F.sha2(_joined(of_base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

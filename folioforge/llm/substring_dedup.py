@@ -12,7 +12,8 @@ super-k-mer, and equal windows always have equal minimisers, so each minimiser i
    are covered and nothing else travels.
 2. For the rest, each distinct super-k-mer travels once, as one packed string, to the bucket of its minimiser. There
    the strings are sorted by doc_id, and each window (the words themselves, not a hash) is counted under the first
-   document that has it. A minimiser with more than ``salt_rows`` distinct strings is split by a hash of its windows.
+   document that has it. A bucket of more than ``hot_rows`` distinct strings is split into its windows: each becomes a row with
+   a 128-bit digest, at most ``LONGEST`` for a string, and the first document of each digest is found by an aggregate.
 3. The covered spans are joined to their documents. Texts travel compressed.
 
 Joins by minimiser or document key hold at most one row per key on one side, so the engine can split a hot key's other
@@ -28,7 +29,6 @@ worked on in overlapping segments.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -118,44 +118,73 @@ def _unpack(z: bytes) -> bytes:
 
 
 def _strings(window: int):
+    """The wanted super-k-mers as packed strings."""
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(5)]
             size = 0
             for doc, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = _unpack(z).split()
                 for x in wanted:
                     s = b" ".join(words[x["start"] : x["start"] + x["n"] + window - 1])
                     size += len(s)
-                    for c, v in zip(cols, (x["mkey"], x["p1"], x["p2"], x["salts"], doc, s)):
+                    for c, v in zip(cols, (x["mkey"], x["p1"], x["p2"], doc, s)):
                         c.append(v)
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CUT_TYPES)], names=_CUT_NAMES)
-                    cols, size = [[] for _ in range(6)], 0
+                    cols, size = [[] for _ in range(5)], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CUT_TYPES)], names=_CUT_NAMES)
 
     return cut
 
 
-_CUT_NAMES = ["mkey", "p1", "p2", "salts", "doc_id", "packed"]
-_CUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+_CUT_NAMES = ["mkey", "p1", "p2", "doc_id", "packed"]
+_CUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _windows(window: int):
+    """The windows of the wanted super-k-mers: document, place in the string, and a digest."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 100):
+            keys: list[list[int]] = [[] for _ in range(5)]
+            digests: list[bytes] = []
+
+            def flush() -> pa.RecordBatch:
+                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in keys), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["mkey", "p1", "p2", "doc_id", "i", "w1", "w2"])
+
+            for doc, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = _unpack(z).split()
+                for x in wanted:
+                    for i in range(x["n"]):
+                        a = x["start"] + i
+                        digests.append(hashlib.blake2b(b" ".join(words[a : a + window]), digest_size=16).digest())
+                        for c, v in zip(keys, (x["mkey"], x["p1"], x["p2"], doc, i)):
+                            c.append(v)
+                if len(digests) > 50_000:
+                    yield flush()
+                    keys, digests = [[] for _ in range(5)], []
+            yield flush()
+
+    return cut
 
 
 def _count(window: int):
-    """Rows come sorted by minimiser, salt and doc_id: the first row with a window is the first document with it."""
+    """Rows come sorted by minimiser and doc_id: the first row with a window is the first document with it."""
 
     def bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, seen = None, {}
         for batch in pieces(batches):
             out: list[tuple] = []
-            for mkey, p1, p2, salts, doc, packed, salt in zip(*(c.to_pylist() for c in batch.columns)):
-                if (mkey, salt) != key:
-                    key, seen = (mkey, salt), {}
+            for mkey, p1, p2, doc, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if mkey != key:
+                    key, seen = mkey, {}
                 gaps = [-1, *np.flatnonzero(np.frombuffer(packed, np.uint8) == 32).tolist(), len(packed)]
                 spans: list[int] = []
                 for i in range(len(gaps) - window):
-                    w = packed[gaps[i] + 1 : gaps[i + window]]
-                    if (salts == 1 or zlib.crc32(w) % salts == salt) and seen.setdefault(w, doc) < doc:
+                    if seen.setdefault(packed[gaps[i] + 1 : gaps[i + window]], doc) < doc:
                         if spans and spans[-1] == i:
                             spans[-1] = i + 1
                         else:
@@ -190,7 +219,7 @@ def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def covered_spans(documents: DataFrame, window: int = 50, m: int = 8, salt_rows: int = 2000, packed: DataFrame | None = None) -> DataFrame:
+def covered_spans(documents: DataFrame, window: int = 50, m: int = 8, hot_rows: int = 2000, packed: DataFrame | None = None) -> DataFrame:
     """doc_id, h (hash of the text) and the covered word spans [s, e) of each document that has any."""
     if not 1 <= m <= window:
         raise ValueError("m lies between 1 and the window")
@@ -206,13 +235,20 @@ def covered_spans(documents: DataFrame, window: int = 50, m: int = 8, salt_rows:
 
     varied = shared.filter("varied").drop("varied")
     first = varied.groupBy("mkey", "p1", "p2").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("f"))
-    hot = first.groupBy("mkey").count().filter(F.col("count") > salt_rows).select("mkey", F.ceil(F.col("count") / salt_rows).cast("int").alias("salts"))
-    first = first.join(hot, "mkey", "left").select("mkey", "p1", "p2", "f.*", F.coalesce("salts", F.lit(1)).alias("salts"))
-    wanted = first.groupBy("doc_id", "h").agg(F.collect_list(F.struct("mkey", "p1", "p2", "start", "n", "salts")).alias("wanted"))
-    strings = packed.join(wanted, ["doc_id", "h"]).select("doc_id", "z", "wanted").mapInArrow(_strings(window), "mkey bigint, p1 bigint, p2 bigint, salts int, doc_id bigint, packed binary")
-    strings = strings.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    spans = strings.repartition("mkey", "salt").sortWithinPartitions("mkey", "salt", "doc_id").mapInArrow(_count(window), "mkey bigint, p1 bigint, p2 bigint, spans array<int>")
-    spans = spans.groupBy("mkey", "p1", "p2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hot = materialize(first.groupBy("mkey").count().filter(F.col("count") > hot_rows).select("mkey"), "hot-minimisers")
+
+    def wanted(of: DataFrame) -> DataFrame:
+        rows = of.select("mkey", "p1", "p2", "f.*").groupBy("doc_id", "h").agg(F.collect_list(F.struct("mkey", "p1", "p2", "start", "n")).alias("wanted"))
+        return packed.join(rows, ["doc_id", "h"]).select("doc_id", "z", "wanted")
+
+    cold = wanted(first.join(hot, "mkey", "left_anti")).mapInArrow(_strings(window), "mkey bigint, p1 bigint, p2 bigint, doc_id bigint, packed binary")
+    spans = cold.repartition("mkey").sortWithinPartitions("mkey", "doc_id").mapInArrow(_count(window), "mkey bigint, p1 bigint, p2 bigint, spans array<int>")
+    if not hot.isEmpty():
+        rows = materialize(wanted(first.join(hot, "mkey", "left_semi")).mapInArrow(_windows(window), "mkey bigint, p1 bigint, p2 bigint, doc_id bigint, i bigint, w1 bigint, w2 bigint"), "hot-windows")
+        least = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
+        repeated = rows.join(least, ["w1", "w2"]).filter("doc_id > first").groupBy("mkey", "p1", "p2").agg(F.collect_set(F.col("i").cast("int")).alias("at"))
+        spans = spans.unionByName(repeated.select("mkey", "p1", "p2", F.flatten(F.transform("at", lambda i: F.array(i, i + 1))).alias("spans")))
+    first = first.select("mkey", "p1", "p2", "f.*")
     found = first.select("mkey", "p1", "p2", F.col("doc_id").alias("owner")).join(spans, ["mkey", "p1", "p2"], "left")
     joined = varied.join(found, ["mkey", "p1", "p2"])
     whole = F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") + (window - 1)).alias("e"))
@@ -223,9 +259,9 @@ def covered_spans(documents: DataFrame, window: int = 50, m: int = 8, salt_rows:
     return same.unionByName(later).unionByName(own).groupBy("doc_id", "h").agg(F.collect_set("x").alias("spans"))
 
 
-def remove_repeats(documents: DataFrame, window: int = 50, m: int = 8, salt_rows: int = 2000) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = 50, m: int = 8, hot_rows: int = 2000) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words, joined by one space."""
     docs = only(documents, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("h"), "text")
     packed = docs.mapInArrow(_packed, "doc_id bigint, h bigint, z binary")
-    spans = covered_spans(documents, window, m, salt_rows, packed)
+    spans = covered_spans(documents, window, m, hot_rows, packed)
     return packed.join(spans, ["doc_id", "h"], "left").select("doc_id", "z", "spans").mapInArrow(_remove, RESULT)

@@ -70,6 +70,22 @@ def op4(rows):
     return [(doc, f"{f:016x}", least.get(find(f))) for (doc, _), f in zip(rows, fps)]
 
 
+def near_copies(rows, shingle=5):
+    """One (doc_id, text) of each group of texts linked by a Jaccard similarity of at least 0.8."""
+    rows = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or ""))
+    sets = []
+    for _, t in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} or {tuple(w)} - {()})
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return [rows[g] for g in sorted(set(group))]
+
+
 def op7(rows, window=50):
     first: dict[tuple, int] = {}
     for doc, text in rows:
@@ -98,7 +114,7 @@ def op8(text):
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(twice), n < 50 or 100 * len(twice) > 50 * n
 
 
-def op9(rows, min_words=5, near_words=8):
+def op9(rows, min_words=1, near_words=5):
     """Rows come in the order of doc_id; rows of one doc_id with one text are one document."""
 
     def near(x, y):

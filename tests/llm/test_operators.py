@@ -49,13 +49,17 @@ def test_simhash_groups(docs, empty):
     assert simhash.groups(empty).count() == 0
 
 
-def test_simhash_keeps_one(docs):
-    want = {c for d, _, c in brute.op4(ROWS) if d is not None}
-    kept = simhash.keep_one(docs)
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_simhash_keeps_one(docs, parts):
+    """One row of each component, and documents that share a number are told apart by their texts."""
+    rows = sorted({r for r in ROWS if r[0] is not None}, key=lambda r: (r[0], r[1] or ""))
+    want = [rows[k] for k in sorted({c for *_, c in brute.op4([(k, t) for k, (_, t) in enumerate(rows)])})]
+    assert sum(d == 4 for d, _ in want) == 2
+    kept = simhash.keep_one(docs.repartition(parts))
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(want)
-    assert ids.count(None) == sum(d is None for d, _ in ROWS)
+    found = [(r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()]
+    same([r for r in found if r[0] is not None], want)
+    assert len(found) - len(want) == sum(d is None for d, _ in ROWS)
 
 
 def test_near_copies(spark, docs, empty):
@@ -87,7 +91,22 @@ def test_near_copies(spark, docs, empty):
     assert near_copies.keep_one(docs).columns == docs.columns
 
 
-def test_golay_code_covers():
+def test_near_copies_of_one_text(spark):
+    """A group of many texts that are all alike: the candidates are one for a text and bucket, not all pairs."""
+    rng = random.Random(3)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(400):
+        v = list(w)
+        for i in rng.sample(range(200), 1 + k % 3):
+            v[i] = f"x{k}"
+        rows.append((k, " ".join(v)))
+    other = [(1000 + k, " ".join(f"y{k}_{i}" for i in range(60))) for k in range(50)]
+    found = near_copies.keep_one(spark.createDataFrame(rows + other, "doc_id long, text string").repartition(2))
+    assert sorted(r.doc_id for r in found.collect()) == [0, *range(1000, 1050)]
+
+
+def test_anchors_cover():
     cover, rng = simhash._Cover(2), np.random.default_rng(3)
     x = rng.integers(0, 2**64, 500, dtype=np.uint64)
     y = x.copy()
@@ -95,19 +114,40 @@ def test_golay_code_covers():
         for bit in rng.choice(64, k % 3, replace=False):
             y[k] ^= np.uint64(1 << int(bit))
     row, anchors = cover.anchors(x)
-    one, two = simhash._pieces(y)
-    home = simhash._number(cover.home(one), cover.home(two))
+    home = cover.home(y)
     assert all(home[k] in anchors[row == k] for k in range(len(x)))
-    assert len(anchors) < 90 * len(x)
+    assert 140 * len(x) < len(anchors) < 165 * len(x) and home.max() < 2**35
+    assert (cover.home(x) == simhash._Cover(0).home(x)).all()
 
 
-@pytest.mark.parametrize("salt_rows", [2000, 1])
-def test_substring_dedup(docs, empty, salt_rows):
-    found = substring_dedup.remove_repeats(docs, salt_rows=salt_rows).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+@pytest.mark.parametrize("hot_rows", [2000, 1])
+def test_substring_dedup(docs, empty, hot_rows):
+    found = substring_dedup.remove_repeats(docs, hot_rows=hot_rows).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
     same(found, brute.op7(ROWS))
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_hot_minimiser(spark, monkeypatch):
+    """A minimiser that many distinct strings share makes rows in proportion to them."""
+    rng = random.Random(7)
+    runs = (" ".join(f"m{j}_{k}" for k in range(8)) for j in range(10**6))
+    run = next(x for x in runs if common.Words([x.encode()]).hashes(8)[0] < 2**64 // 5000)
+    rows = []
+    for k in range(1500):
+        before, after = (" ".join(f"{rng.randrange(40)}" for _ in range(21)) for _ in "ab")
+        rows.append((k, f"{before} {run} {after}"))
+    rows += [(5000 + k, rows[7 * k][1]) for k in range(20)]
+    want = brute.op7(rows)
+    assert sum(n > 0 for *_, n, _ in want) >= 20
+    sizes = []
+    write = substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, name: (t := write(df, name), sizes.append((name, t.count())))[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = substring_dedup.remove_repeats(df, hot_rows=10).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    same(found, want)
+    assert dict(sizes)["hot-minimisers"] == 1 and 5 * len(rows) < dict(sizes)["hot-windows"] and all(n <= 50 * len(rows) for _, n in sizes)
+
+
 def test_substring_dedup_segments(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SEGMENT", 70)
     parts, row, base = substring_dedup._segments([b"w " * 300, b"a b", None], 50)
@@ -136,19 +176,19 @@ def test_line_dedup_edits(spark):
     same(found, brute.op9(rows))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 300])
-def test_decontamination(spark, docs, empty, block_bytes):
+@pytest.mark.parametrize("block_windows", [4_000_000, 60])
+def test_decontamination(spark, docs, empty, block_windows):
     w = brute.words(ROWS[8][1]) + brute.words(ROWS[9][1])
     items = [(1, " ".join(w[:14])), (2, " ".join(w[2:9])), (10, ROWS[10][1]), (None, "  one, two "), (3, None), (4, "!!"), (1, " ".join(w[:14])), (5, "É" + " ".join(w[3:20]))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    found = decontamination.scan(docs, benchmark, block_bytes=block_bytes).collect()
+    found = decontamination.scan(docs, benchmark, block_windows=block_windows).collect()
     same(found, brute.op10(ROWS, items))
     assert decontamination.scan(empty, benchmark).count() == 0
     assert decontamination.scan(docs, benchmark.limit(0)).filter("contaminated").count() == 0
-    dropped = decontamination.clean(docs, benchmark, block_bytes=block_bytes)
+    dropped = decontamination.clean(docs, benchmark, block_windows=block_windows)
     assert dropped.columns == docs.columns
     assert dropped.count() == sum(not r[-1] for r in brute.op10(ROWS, items))
-    removed = decontamination.clean(docs, benchmark, action="remove", block_bytes=block_bytes)
+    removed = decontamination.clean(docs, benchmark, action="remove", block_windows=block_windows)
     assert removed.count() == len(ROWS) and decontamination.scan(removed, benchmark).filter("contaminated").count() == 0
 
 
@@ -182,6 +222,10 @@ def test_quality_label_model(spark):
 
 
 def test_packing_round_trip(docs, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     found = packing.pack(docs, with_ids=True).collect()
     pieces: dict = {}
     for r in found:
@@ -190,7 +234,7 @@ def test_packing_round_trip(docs, empty):
         pieces.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.ids))
     want: dict = {}
     for doc, text in ROWS:
-        ids = [*packing.token_ids(text or "").tolist(), 1]
+        ids = [*encoder.encode(text or "", add_special_tokens=False).ids, 1]
         want.setdefault((doc, len(ids)), []).append(ids)
     assert {k: len(v) for k, v in want.items()} == {k: sum(s == 0 for s, _ in v) for k, v in pieces.items()}
     for k, texts in want.items():
@@ -224,8 +268,12 @@ def test_packing_balances_steps():
 
 
 def test_token_ids_are_those_of_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     texts = [t for _, t in ROWS if t] + ["", " ", "\n\n  x", "don't <|endoftext|> we'll 123 ½ 日本語   x", "é" * 1500, "a" * 2500, "-" * 3000, "\t" * 2500 + "z"]
-    encoder = packing.json_encoder("/opt/tokenizers/byte_bpe_50k.json")
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert 50256 in packing.token_ids("a <|endoftext|> b")
     for t in texts:
         assert packing.token_ids(t).tolist() == encoder.encode(t, add_special_tokens=False).ids
 
@@ -243,6 +291,8 @@ def test_language_id(spark, empty):
     assert sum(r.lang == r.lang_pred for r in found) >= 57 and all(0 <= r.score <= 1 for r in found)
     edge = {r.doc_id: r for r in language_id.classify(df.filter("doc_id >= 500 or doc_id is null"), model).collect()}
     assert edge[500].lang_pred == edge[501].lang_pred == "und" and edge[500].score == 0 and edge[None].lang_pred == "aa"
+    many = df.select("doc_id", "text", F.concat("lang", (F.col("doc_id") % 100).cast("string")).alias("lang"))
+    assert len(language_id.fit(many, most_chars=100_000).dictionaries) == many.select("lang").distinct().count() - 1 >= 100
     none = language_id.fit(empty)
     assert {r.lang_pred for r in language_id.classify(held, none).collect()} == {"und"}
     assert language_id.classify(empty, model).count() == 0
@@ -262,12 +312,56 @@ def test_secret_patterns_and_test(spark, empty):
     assert [k for k, v in found.items() if any(x[0] == "random" for x in v)] == [7]
     assert secrets_scan.scan(empty).count() == 0
     rng = random.Random(6)
-    encoder = packing.ranks_encoder("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    encoder = packing.ranks_encoder(common.tokenizer_path("byte_bpe_50k.tiktoken"))
     for _ in range(3000):
         text = "".join(rng.choice(["token", "Secret", "=", ":", " ", "'", "abcdef0123456789", "AKIA", "QWERTY12", "a", "é", "_", "api_key"]) for _ in range(rng.randint(1, 12)))
         assert [x for x in secrets_scan.find(text, encoder, 2.0) if x[0] != "random"] == brute.base_secrets(text)
 
 
+def test_secret_recall_by_context():
+    """Random strings where secrets stand; names, paths and digests are left alone."""
+    rng = random.Random(2)
+    encoder = packing.ranks_encoder(common.tokenizer_path("byte_bpe_50k.tiktoken"))
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    r = lambda n, a=letters + digits: "".join(rng.choice(a) for _ in range(n))
+    contexts = {
+        "say %s here": lambda: r(32), "key:%s\n": lambda: r(24), "x: \"%s\".": lambda: r(32), "a %s b": lambda: r(40, letters), "low %s b": lambda: r(32, letters[:26]), "v=%s;": lambda: "/" + r(39, letters + digits + "+/"),
+        "see https://bob:%s@host.example/x": lambda: r(20), "jwt %s.": lambda: f"{r(36)}.{r(60)}.{r(43)}", "long %s e": lambda: r(3000),
+    }
+    for context, make in contexts.items():
+        hit = 0
+        for _ in range(200):
+            value = make()
+            text = context % value
+            at = text.index(value)
+            hit += any(s <= at and e >= at + len(value) for _, s, e in secrets_scan.find(text, encoder))
+        assert hit >= 180, context
+    for text in (
+        "AbstractSingletonProxyFactoryBean", "internationalization-of-everything", "/usr/lib/python3.13/site-packages/numpy", "see d41d8cd98f00b204e9800998ecf8427e1a2b3c4d.png", "mail k9Xq2LmZ7vR4tY8wB3nC6dF1@example.com", "D41D8CD98F00B204E9800998ECF8427E",
+        "https://example.com/a/k9Xq2LmZ7vR4tY8wB3nC6dF1?id=k9Xq2LmZ7vR4tY8wB3nC6dF1", "ACGTACGTTGCAACGTACGTACGTGGCA", "Donaudampfschifffahrtsgesellschaft", "2024-01-02-2024-01-03-11", "=" * 80, "_" * 40,
+    ):
+        assert [x for x in secrets_scan.find(text, encoder) if x[0] == "random"] == [], text
+    for unit in ("a", "1", "/", "a/", ".", "a.", "://", "@", "aA1", "a:", "0123456789abcdefghij."):
+        secrets_scan.find(unit * (300_000 // len(unit)), encoder)
+
+
+def test_span_queries_against_plain_versions(spark, tmp_path):
+    """The strings and digests that the registered queries return, of difficult and of repeated rows, with clashing names."""
+    from folioforge.llm.queries import QUERIES
+
+    texts = [*SECRETS, "call (555) 123-4567 now, or mail a.b@c.org", "+1 (555) 123-4567 1.2.3.4 4111 1111 1111 1111", "é 10.0.0.1", "x " * 40_000 + "a@b.co password: abcdefgh1"]
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[3])]
+    spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("x").alias(c) for c in ("spans", "n_hex", "base", "kind")]).write.parquet(f"{tmp_path}/documents.parquet")
+    join = lambda x: ",".join(f"{k}:{s}:{e}" for k, s, e in x)
+    for name, base, kinds in (("op3_secret_scan", brute.base_secrets, ("assign", "access", "hex")), ("op5_pii", brute.base_pii, ("email", "ip", "card", "phone"))):
+        found = QUERIES[name](spark, str(tmp_path)).collect()
+        same([(r.doc_id, *[r[f"n_{k}"] for k in kinds], r.base_sha256) for r in found], [(d, *[sum(x[0] == k for x in base(t or "")) for k in kinds], brute.sha(join(base(t or "")))) for d, t in rows])
+        for r in found:
+            have = r.spans.split(",") if r.spans else []
+            want = [f"{k}:{s}:{e}" for k, s, e in base((texts[r.doc_id] if r.doc_id is not None else texts[3]) or "")]
+            assert set(want) <= set(have) and len(have) == r.n_spans
+
+
 def test_pii_patterns():
     rng = random.Random(3)
     for _ in range(20_000):
@@ -286,6 +380,8 @@ def test_pii_field(spark, empty):
         want = {s for s in spans if pii._holds(s[0], text[s[1] : s[2]])}
         right, wrong, missed = right + len(want & set(found)), wrong + len(set(found) - want), missed + len(want - set(found))
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+    name = "n" * 90 + "." + "m" * 50
+    assert all(a <= 2 and b == len(x) for x in (f"{name}@example.org", f"a {name} at example dot org") for a, b in pii.neighbourhoods(x))
     texts = ["call (555) 123-4567 now, or mail a.b@c.org", "mail anna at example dot org please", None, "", "+1 (555) 123-4567", "no data at all " * 500]
     df = spark.createDataFrame([*enumerate(texts), (None, "x")], "doc_id long, text string")
     found = {r.doc_id: r.spans for r in pii.scan(df, crf).collect()}
@@ -335,6 +431,63 @@ def test_html_extraction(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def _plain_layout(k: int, words) -> tuple[str, str]:
+    """A page without article elements and with names that mislead, and its main text."""
+    said = [" ".join(words(30)) for _ in range(4)]
+    title, teaser, table = " ".join(words(5)), " ".join(words(6)), " ".join(words(3))
+    work = f'<div class="related-work"><p>{said[3]}</p></div>' if k % 3 == 0 else ""
+    html = (
+        f'<html><body class="right-sidebar no-js"><div id="a"><b>The Daily Thing</b></div><div id="b"><ul><li><a href="/1">{teaser} one</a></li><li><a href="/2">two</a></li></ul></div>'
+        f'<article class="teaser"><p>{teaser}</p></article><div id="c" class="x"><h2>{title}</h2><p>By Ann Lee</p><p>{said[0]}</p><div class="d1">Read our new terms before Friday</div><p>{said[1]}</p>'
+        f'<div class="share-price-table">{table}</div><h3>Conclusion</h3><p>{said[2]}</p>{work}<div class="comments"><p>First! {k}</p></div></div><div id="e">{teaser}</div><div id="f">Legal: all of it is ours</div></body></html>'
+    )
+    return html, " ".join([title, "By Ann Lee", said[0], said[1], table, "Conclusion", said[2], *[said[3]] * (k % 3 == 0)])
+
+
+def test_html_template_decides_without_article(spark):
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    made = [_plain_layout(k, words) for k in range(30)]
+    df = spark.createDataFrame([(k, f"http://plain.example/{k}", h) for k, (h, _) in enumerate(made)], "page_id long, url string, html string").repartition(3)
+    for broadcast_tokens in (500_000, 0):
+        found = {r.page_id: r.text for r in html_extraction.extract(df, broadcast_tokens=broadcast_tokens).collect()}
+        assert found == {k: text for k, (_, text) in enumerate(made)}
+    # what the template takes out that a page alone doesn't tell
+    alone = [html_extraction.main_text(h) for h, _ in made]
+    assert all("Read our new terms" in x for x in alone) and all(len(x) > len(text) for x, (_, text) in zip(alone, made))
+
+
+def test_html_names_and_ties(spark):
+    long, short = "many words of the text itself " * 20, "a teaser of a few words"
+    cases = {
+        f'<body class="sidebar-right"><article class="post social"><p>{short}</p></article></body>': short,
+        f'<body class="sidebar"><main id="search-results"><p>{short}</p></main></body>': short,
+        f'<body><article><p>{short}</p></article><div id="content"><p>{long}</p></div></body>': long.strip(),
+        f'<body><form action="/"><div id="all"><p>{long}</p></div></form></body>': long.strip(),
+        f'<body><div class="ad"><p>{short}</p></div><div class="q"><p>{short}, but the text</p></div></body>': f"{short}, but the text",
+        f'<body><h1>Its title</h1><div class="q"><p>{long}</p></div><footer>x</footer></body>': f"Its title {long.strip()}",
+        "<div>" * 3000 + "deep" + "</div>" * 3000: "deep",
+        "": "",
+    }
+    for html, want in cases.items():
+        assert html_extraction.main_text(html) == want, html[:80]
+    pages = [(k, f"http://{k}.example/", html) for k, html in enumerate(cases)] + [(99, "http://99.example/", "<p>" + "long " * 400_000)]
+    found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [found[k] for k in range(len(cases))] == list(cases.values()) and len(found[99]) == 5 * 400_000 - 1
+
+
 def test_html_reading_is_linear():
-    for page in ("<div " * 30_000, "<p>" * 30_000, "<a href='" * 20_000, "<!--" * 30_000, "<div>" * 20_000 + "x"):
-        html_extraction.read(page)
+    import time
+    import tracemalloc
+
+    def cost(page: str) -> tuple[float, int]:
+        tracemalloc.start()
+        at = time.process_time()
+        html_extraction.main_text(page)
+        took = time.process_time() - at, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return took
+
+    for unit in ("<div ", "<p>", "<a href='", "<!--", "<div>", "<div></p></span></ul>", "<ul></li>", "<div>x", "&amp;<b>"):
+        (t1, m1), (t2, m2) = cost(unit * 5000), cost(unit * 20_000)
+        assert t2 < 8 * t1 + 0.3 and m2 < 6 * m1 + (1 << 20), unit
