@@ -134,7 +134,7 @@ def test_substring_dedup_hot_minimiser(spark, monkeypatch):
     run = next(x for x in runs if common.Words([x.encode()]).hashes(8)[0] < 2**64 // 5000)
     rows = []
     for k in range(1500):
-        before, after = (" ".join(f"{rng.randrange(40)}" for _ in range(21)) for _ in "ab")
+        before, after = (" ".join(f"{rng.randrange(40)}" for _ in range(40)) for _ in "ab")
         rows.append((k, f"{before} {run} {after}"))
     rows += [(5000 + k, rows[7 * k][1]) for k in range(20)]
     want = brute.op7(rows)
