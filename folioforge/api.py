@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.pairs import label_values
 from .sources import sniff as _sniff
 from .sources.limits import ArchiveTooLarge, Budget, NoTextFound, StreamTooLarge, UnsupportedFormat, read_member, reason_of
 from .sources.sniff import explain_empty, extract, sniff
@@ -90,8 +91,17 @@ class ReadArchive:
         yield from extract_archive(path)
 
 
+@F.udtf(returnType="line_no int, label string, value string")
+class LabelValues:
+    """``label_values(text)``, or ``label_values(text, known)`` with an array of labels: the labels and values of a text."""
+
+    def eval(self, text: str, known: list = None):  # noqa: RUF013
+        yield from label_values(text, known or ())
+
+
 def register_sql(spark: SparkSession) -> None:
-    """Registers the data source, ``extract_text`` (content, name), ``read_archive`` (path), and, as SQL functions inside Catalyst,
+    """Registers the data source, ``extract_text`` (content, name), the table functions ``read_archive`` (path) and ``label_values``
+    (text, with an array of known labels if wanted), and, as SQL functions inside Catalyst,
     ``classify_value`` (value) and ``find_<kind>`` (text)."""
     from .functions.detectors import DETECTORS, SHARE
     from .sources.documents import register
@@ -99,12 +109,13 @@ def register_sql(spark: SparkSession) -> None:
     register(spark)
     spark.udf.register("extract_text", extract_text)
     spark.udtf.register("read_archive", ReadArchive)
+    spark.udtf.register("label_values", LabelValues)
     for d in DETECTORS:
         pattern = d.regex.replace("\\", "\\\\").replace("'", "\\'")
         found = f"regexp_extract_all(text, '{pattern}', 0)"
         if d.accepts is not None:
             found = f"filter({found}, m -> m rlike '(?U)\\\\d')"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION find_{d.name}(text STRING) RETURNS ARRAY<STRING> RETURN {found}")
-    least = f"{SHARE}D * length(regexp_replace(value, '(?U)^[\\\\s]+|[\\\\s]+$', ''))"
+    least = f"{SHARE}D * length(regexp_replace(value, '(?U)^[\\\\s]+|(?<![\\\\s])[\\\\s]++$', ''))"
     named = " ".join(f"WHEN length(get(find_{d.name}(value), 0)) >= {least} THEN '{d.name}'" for d in DETECTORS)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION classify_value(value STRING) RETURNS STRING RETURN CASE {named} ELSE 'text' END")

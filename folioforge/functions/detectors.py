@@ -52,7 +52,8 @@ DETECTORS: tuple[Detector, ...] = (
     Detector("date_long", rf"\b(?:{_MONTHS})" + r"\s+\d{1,2}" + r",?\s+" + r"\d{4}\b"),
     Detector("phone_us", _AFTER_NO_DIGIT + rf"(?:\+1{_GAP}?)?" + r"\(?\d{3}\)?" + _GAP + r"\d{3}" + _GAP + r"\d{4}" + _BEFORE_NO_DIGIT),
     Detector("percent", _AFTER_NO_WORD + r"\d{1,3}" + r"(?:\.\d+)?" + r"\s?%"),
-    Detector("identifier", r"\b[A-Z0-9]{2,}" + r"(?:-[A-Z0-9]+)+\b", accepts=lambda m: m.rlike(r"(?U)\d")),
+    # every part ends at a word's end, so none is given back: Java's matcher would keep a frame for each
+    Detector("identifier", r"\b[A-Z0-9]{2,}+" + r"(?:-[A-Z0-9]++\b)++", accepts=lambda m: m.rlike(r"(?U)\d")),
 )
 
 #: The least share of a value that a match must have to name it.

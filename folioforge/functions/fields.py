@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from .text import _col, strip
 
 #: Syntax that the two regular expression dialects don't share; such fields are matched in Python, by Arrow batches.
+#: So are groups that are repeated: Java's matcher recurses for each turn and ends the JVM where a text makes it too deep.
+_REPEATED_GROUP = re.compile(r"\)(?:[*+]|\{)")
 _PYTHON_ONLY = re.compile(r"\(\?P|\(\?\(|\\Z|\(\?[aLux]|\[\[|\\N\{|&&|\\[pPGQEhHvVRX]|\(\?#|\{,")
 
 
@@ -45,6 +47,13 @@ class Field:
         m = re.search(self.pattern, text, self.flags)
         return (m.group(self.group) or "").strip() if m else ""
 
+    def checked(self, text: str | None) -> tuple[str, str | None]:
+        """The value, and why there is none where matching failed."""
+        try:
+            return self.find(text) if isinstance(text, str) else "", None
+        except Exception as e:  # noqa: BLE001
+            return "", f"{type(e).__name__}: {e}"
+
     def column(self, c: Column | str = "text") -> Column:
         """The first match in the text, stripped; empty where there is none."""
         if self.native:
@@ -53,10 +62,11 @@ class Field:
 
         @F.pandas_udf(T.StringType())
         def match(texts):
-            return texts.map(lambda t: field.find(t) if isinstance(t, str) else "")
+            return texts.map(lambda t: field.checked(t)[0])
 
         return match(_col(c))
 
     @property
     def native(self) -> bool:
-        return self.flags == re.IGNORECASE and not _PYTHON_ONLY.search(self.pattern)
+        """Whether the pattern is matched inside Catalyst: it means the same there, and no text can fail it."""
+        return self.flags == re.IGNORECASE and not _PYTHON_ONLY.search(self.pattern) and not _REPEATED_GROUP.search(self.pattern)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: One character that Python's str.strip takes off; ``(?U)`` must be on.
 SPACE = r"[\s\x1c-\x1f]"
+#: White space at the end; a run of it inside is looked at once, not from each of its places.
+_LAST = rf"(?<!{SPACE}){SPACE}++$"
 #: What str.splitlines splits at.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -16,11 +18,11 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(_col(c), rf"(?U)^{SPACE}+|{_LAST}", "")
 
 
 def rstrip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"(?U){SPACE}+$", "")
+    return F.regexp_replace(_col(c), rf"(?U){_LAST}", "")
 
 
 def is_blank(c: Column | str) -> Column:
@@ -36,7 +38,7 @@ def split_lines(c: Column | str) -> Column:
 def normalize_label(c: Column | str) -> Column:
     """A label as a key: lower case, single spaces, no colons at its end."""
     one_spaced = strip(F.regexp_replace(_col(c), rf"(?U){SPACE}+", " "))
-    return F.lower(strip(F.regexp_replace(one_spaced, ":+$", "")))
+    return F.lower(strip(F.regexp_replace(one_spaced, "(?<!:):++$", "")))
 
 
 def holds(query: str, *columns: Column | str) -> Column:

@@ -14,6 +14,8 @@ def tokens(docs: DataFrame, key: str, text: str, count: str) -> DataFrame:
 
 def token_recall(ours: DataFrame, reference: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     """For each key of the reference, the share of its tokens (with repeats) that ours has; 1 for one without tokens."""
+    # of ours only what the reference has keys of is looked into
+    ours = ours.join(reference.select(key).distinct(), key, "left_semi")
     have, want = tokens(ours, key, text, "have"), tokens(reference, key, text, "want")
     met = want.join(have, [key, "token"], "left").groupBy(key).agg(F.sum(F.least("want", F.coalesce("have", F.lit(0)))).alias("found"), F.sum("want").alias("wanted"))
     return reference.select(key).distinct().join(met, key, "left").select(

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,19 +51,29 @@ def _classes(line: Column, registry: Sequence[Detector]) -> Column:
     )
 
 
-def with_pairs(docs: DataFrame, text: str = "text", known: Sequence[str] = (), column: str = "pairs", max_value: int = MAX_VALUE, registry: Sequence[Detector] = DETECTORS) -> DataFrame:
-    """The documents with an array of structs line_no, label and value: for each label its first value."""
-    names = docs.columns
-    rows = [F.col(f"`{c}`") for c in names]
-    known_keys = F.array(*[normalize_label(F.lit(k)) for k in known]) if known else F.array().cast("array<string>")
-    lines = docs.select(*rows, _once(F.struct(F.transform(split_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: _classes(x, registry)).alias("__lines"), known_keys.alias("__known"))))
+def _classified(docs: DataFrame, text: str = "text", registry: Sequence[Detector] = DETECTORS) -> DataFrame:
+    """The documents with their lines, classed: what doesn't depend on which labels are known."""
+    rows = [F.col(f"`{c}`") for c in docs.columns]
+    lines = docs.select(*rows, _once(F.struct(F.transform(split_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: _classes(x, registry)).alias("__lines"))))
 
     def full(x: Column) -> Column:
         label = F.when(x.kind == "c", F.regexp_extract(x.line, _COLON, 1)).when(x.kind == "g", F.regexp_extract(x.line, _COLUMN, 1)).when(x.kind == "l", F.regexp_extract(x.line, _ALONE, 1))
         value = F.when(x.kind == "c", F.regexp_extract(x.line, _COLON, 2)).when(x.kind == "g", F.regexp_extract(x.line, _COLUMN, 2)).otherwise(strip(x.line))
         return F.struct(x.kind.alias("kind"), normalize_label(label).alias("label"), value.alias("value"), strip(x.line).alias("line"), x.line.endswith(":").alias("opens"))
 
-    lines = lines.select(*rows, "__known", _once(F.struct(F.transform("__lines", full).alias("__lines"))))
+    return lines.select(*rows, _once(F.struct(F.transform("__lines", full).alias("__lines"))))
+
+
+def with_pairs(docs: DataFrame, text: str = "text", known: Sequence[str] = (), column: str = "pairs", max_value: int = MAX_VALUE, registry: Sequence[Detector] = DETECTORS) -> DataFrame:
+    """The documents with an array of structs line_no, label and value: for each label its first value."""
+    return _paired(_classified(docs, text, registry), known, column, max_value)
+
+
+def _paired(lines: DataFrame, known: Sequence[str] = (), column: str = "pairs", max_value: int = MAX_VALUE) -> DataFrame:
+    names = [c for c in lines.columns if c != "__lines"]
+    rows = [F.col(f"`{c}`") for c in names]
+    known_keys = F.array(*[normalize_label(F.lit(k)) for k in known]) if known else F.array().cast("array<string>")
+    lines = lines.select(*rows, "__lines", _once(F.struct(known_keys.alias("__known"))))
     lines = lines.select(*rows, _once(F.struct(F.transform("__lines", lambda x: F.struct(x["kind"].alias("kind"), x["label"].alias("label"), x["value"].alias("value"), x["line"].alias("line"), x["opens"].alias("opens"), ((x["kind"] == "l") & F.array_contains(F.col("__known"), F.coalesce(x["label"], F.lit("")))).alias("known"))).alias("__lines"))))
 
     at = lambda i: F.get(F.col("__lines"), i)
@@ -101,35 +112,43 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).filter(~is_blank(text))
 
 
+def _shared(lines: DataFrame, total: int, min_support: float) -> list[str]:
+    counts = _paired(lines.select("__lines")).select(F.inline("pairs")).groupBy("label").count()
+    return sorted(r.label for r in counts.filter(F.col("count") / F.lit(float(max(total, 1))) >= min_support).select("label").collect())
+
+
 def common_labels(docs: DataFrame, key: str = "ordinal", text: str = "text", min_support: float = MIN_SUPPORT) -> list[str]:
     """Labels that this share of the documents with text states plainly. As a document has few labels, these are at most its
     number of labels over the share."""
     docs = _texts(docs, key, text)
-    total = docs.count()
-    counts = label_values(docs, key, text).groupBy("label").count()
-    return sorted(r.label for r in counts.filter(F.col("count") / F.lit(float(max(total, 1))) >= min_support).select("label").collect())
+    return _shared(_classified(docs, text), docs.count(), min_support)
 
 
 def infer_schema(docs: DataFrame, key: str = "ordinal", text: str = "text", min_support: float = MIN_SUPPORT, max_fields: int = MAX_FIELDS, known: Sequence[str] | None = None, sample: int | None = None) -> DataFrame:
     """The columns that a corpus proposes: label, support, ratio, kind, example; most supported first, on ties the first seen.
 
     ``sample`` looks at so many documents only, the first by key: a quick proposal, as a person waits for it. The key orders the
-    documents. Labels are counted, typed and exemplified in aggregates by label; only labels that have the
-    support are left when the ranking comes."""
+    documents. Lines are classed once and kept on the executors' disks for both passes, that for the known labels and that for
+    the columns. Labels are counted, typed and exemplified in aggregates by label; only the at most ``max_fields`` rows of the
+    result reach the driver."""
     docs = docs if sample is None else docs.select(key, text).orderBy(key).limit(sample)
-    docs = _texts(docs, key, text)
-    known = common_labels(docs, key, text, min_support) if known is None else known
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    # one aggregate by label, kind and value (a value has one kind); the others are made of it, and its exchange is reused
-    pairs = label_values(docs, key, text, known).withColumn("kind", classify("value"))
-    base = pairs.groupBy("label", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "line_no")).alias("first"))
-    seen = base.groupBy("label").agg(F.sum("n").alias("support"), F.min("first").alias("first"), F.max("n").alias("most"))
-    enough = seen.join(F.broadcast(total)).filter(F.col("support") / F.col("total").cast("double") >= min_support)
-    kinds = base.groupBy("label", "kind").agg(F.sum("n").alias("n"), F.min("first").alias("since"), F.min_by("value", "first").alias("example"))
-    best = kinds.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "since"))).filter("place = 1")
-    real = enough.filter(~((F.col("support") >= BOILERPLATE_DOCS) & (F.col("most") / F.col("support") >= BOILERPLATE_SHARE)))
-    ranked = real.join(best.select("label", "kind", "example"), "label").orderBy(F.desc("support"), "first").limit(max_fields)
-    return ranked.select("label", "support", F.bround(F.col("support") / F.col("total").cast("double"), 3).alias("ratio"), "kind", "example")
+    lines = _classified(_texts(docs, key, text), text).select(key, "__lines").persist(StorageLevel.DISK_ONLY)
+    try:
+        total = lines.count()
+        known = _shared(lines, total, min_support) if known is None else known
+        # one aggregate by label, kind and value (a value has one kind); the others are made of it, and its exchange is reused
+        pairs = _paired(lines, known).select(key, F.inline("pairs")).withColumn("kind", classify("value"))
+        base = pairs.groupBy("label", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "line_no")).alias("first"))
+        seen = base.groupBy("label").agg(F.sum("n").alias("support"), F.min("first").alias("first"), F.max("n").alias("most"))
+        share = F.col("support") / F.lit(float(max(total, 1)))
+        kinds = base.groupBy("label", "kind").agg(F.sum("n").alias("n"), F.min("first").alias("since"), F.min_by("value", "first").alias("example"))
+        best = kinds.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "since"))).filter("place = 1")
+        real = seen.filter(share >= min_support).filter(~((F.col("support") >= BOILERPLATE_DOCS) & (F.col("most") / F.col("support") >= BOILERPLATE_SHARE)))
+        ranked = real.join(best.select("label", "kind", "example"), "label").orderBy(F.desc("support"), "first").limit(max_fields)
+        rows = ranked.select("label", "support", F.bround(share, 3).alias("ratio"), "kind", "example").collect()
+    finally:
+        lines.unpersist()
+    return docs.sparkSession.createDataFrame(rows, "label string, support bigint, ratio double, kind string, example string").coalesce(1)
 
 
 def extract_fields(docs: DataFrame, labels: Sequence[str], text: str = "text") -> DataFrame:

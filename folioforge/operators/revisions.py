@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
 
-def _last_by(table: DataFrame, key: str, order: str | None) -> DataFrame:
-    """One row per key: the last in the given order (without one, keys are taken to be unique)."""
-    if order is None:
-        return table
-    return table.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("__n = 1").drop("__n")
-
-
 def diff(old: DataFrame, new: DataFrame, key: str = "file", order: str | None = None) -> DataFrame:
     """Changed cells as file, column, from, to. Cells are compared as stripped strings, null as empty. An added row is one
-    change of the column ``*`` from null to (added), a removed one from (present) to (removed)."""
+    change of the column ``*`` from null to (added), a removed one from (present) to (removed). Of rows with one key the last
+    counts: by the column ``order``, else by their place in the table."""
     columns = [c for c in new.columns if c not in (key, order)]
 
     def cells(table: DataFrame, name: str) -> DataFrame:
         have = set(table.columns)
         values = [strip(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) if c in have else F.lit("") for c in columns]
-        return _last_by(table, key, order).select(F.col(f"`{key}`").alias("file"), F.array(*values).cast("array<string>").alias(name))
+        place = F.struct(*[F.col(f"`{order}`")] * (order is not None), F.monotonically_increasing_id().alias("__row"))
+        rows = table.select(F.col(f"`{key}`").alias("file"), F.array(*values).cast("array<string>").alias(name), place.alias("__place"))
+        return rows.groupBy("file").agg(F.max_by(name, "__place").alias(name))
 
     both = cells(old, "__old").join(cells(new, "__new"), "file", "full_outer")
     names = F.array(*map(F.lit, columns)).cast("array<string>")

@@ -27,13 +27,7 @@ def _checked(field: Field) -> Column:
     def match(texts):
         import pandas as pd
 
-        def one(t):
-            try:
-                return field.find(t if isinstance(t, str) else ""), None
-            except Exception as e:  # noqa: BLE001
-                return "", f"{type(e).__name__}: {e}"
-
-        return pd.DataFrame([one(t) for t in texts], columns=["value", "error"])
+        return pd.DataFrame([field.checked(t) for t in texts], columns=["value", "error"])
 
     return match(F.col("text"))
 
@@ -81,6 +75,15 @@ def exceptions(extracted: DataFrame, labels: Sequence[str] = (), fields: Sequenc
     return unread if keep_ordinal else unread.drop("ordinal")
 
 
+def outcomes(extracted: DataFrame, fields: Sequence[Field] = ()) -> DataFrame:
+    """label of each input, and ok: whether it was read and no field failed on it."""
+    failed = [_checked(f)["error"].isNotNull() for f in fields if not f.native]
+    ok = F.col("status") == "read"
+    for x in failed:
+        ok = ok & ~x
+    return extracted.select("label", ok.alias("ok"))
+
+
 def datasheet(extracted: DataFrame) -> DataFrame:
     """The state of each input as found, with what reading it gave. Needs the source's ``withState``. Columns that no row
     has are left out where the sheet is written, not here."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark import InheritableThread, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.fields import Field
@@ -43,12 +44,39 @@ class Run:
 
 def run(
     spark: SparkSession, paths: Sequence[str], fields: Sequence[Field] = (), recognize: bool = False, labels: Sequence[str] = (), min_support: float = MIN_SUPPORT, include_text: bool = True,
-    max_text: int | None = None, state: bool = False, content: bool = False, partitions: int = 64,
+    max_text: int | None = None, state: bool = False, content: bool = False, partitions: int = 0, on_document: Callable[[str, bool], None] | None = None,
 ) -> Run:
-    """``recognize`` proposes columns from the whole corpus; ``labels`` names them instead."""
+    """``recognize`` proposes columns from the whole corpus; ``labels`` names them instead. ``on_document`` is called with the label of
+    each input and whether it was read; if it raises, the run ends with what it raised."""
     extracted = scan(spark, paths, state=state, content=content, partitions=partitions).persist(StorageLevel.DISK_ONLY)
+    if on_document is not None:
+        _report(extracted, fields, on_document)
     found: list[dict] = []
     if recognize:
         found = [r.asDict() for r in infer_schema(extracted.filter("status = 'read'").select("ordinal", "text"), min_support=min_support).collect()]
         labels = [*labels, *(x["label"] for x in found)]
     return Run(extracted, list(labels), list(fields), found, include_text, max_text)
+
+
+def _report(extracted: DataFrame, fields: Sequence[Field], on_document: Callable[[str, bool], None]) -> None:
+    """Calls back a partition at a time, while another job reads ahead with all cores."""
+    sc, group = extracted.sparkSession.sparkContext, f"read-ahead-{uuid.uuid4().hex}"
+
+    def ahead() -> None:
+        sc.setJobGroup(group, "reading documents", True)
+        try:
+            extracted.write.format("noop").mode("overwrite").save()
+        except Exception:  # noqa: BLE001 - it is stopped, or the rows themselves will say what is wrong
+            pass
+
+    reader = InheritableThread(target=ahead)
+    reader.start()
+    try:
+        for r in tables.outcomes(extracted, fields).toLocalIterator():
+            on_document(r.label, r.ok)
+    except BaseException:
+        sc.cancelJobGroup(group)
+        reader.join()
+        extracted.unpersist()
+        raise
+    reader.join()

@@ -23,9 +23,10 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows for work that costs far more than moving them: at least a partition per core. Large inputs have that already."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """Rows for work that costs far more than moving them: evenly over the cores, or over as many partitions as the shuffle has
+    where that is more."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _render(layout: str) -> Column:

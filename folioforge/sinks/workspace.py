@@ -1,8 +1,10 @@
 """A folder that keeps documents as they came, their texts, and every version of the delivered table, with hashes.
 
 Nothing in it is ever replaced. Originals and texts are written by the executors, to names made of the document's name and
-the hash of its bytes; the manifest is one JSON file, renamed into place by the driver once per run. Documents that couldn't
-be read are kept too. Capturing the same bytes under the same label again adds nothing.
+the hash of its bytes; each task also writes what it has kept to a journal, 500 documents at a time. The manifest is one JSON
+file, renamed into place by the driver, which takes the journal in at the end of a run, also of one that failed, or before the
+next: so no file is kept without being named. Documents that couldn't be read are kept too. Capturing the same bytes under the
+same label again adds nothing.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
@@ -24,7 +27,9 @@ from ..operators.tables import delivered
 from ..sources.filestate import _now
 from .files import read_csv_rows, write_csv
 
-_ENTRY = "label string, original string, original_sha256 string, extracted string, extracted_sha256 string, characters bigint, captured string, state_when_found string"
+_ENTRY = ("label", "original", "original_sha256", "extracted", "extracted_sha256", "characters", "captured", "state_when_found")
+#: Documents that are kept before the journal says so.
+FLUSH = 500
 
 
 def sha256_file(path: str | Path) -> str:
@@ -54,7 +59,7 @@ class Workspace:
         return self.manifest_path.is_file()
 
     def create(self, sources: Sequence[str]) -> dict:
-        for name in ("originals", "extracted", "revisions"):
+        for name in ("originals", "extracted", "revisions", "journal"):
             (self.root / name).mkdir(parents=True, exist_ok=True)
         manifest = {
             "schema": 1, "tool": f"folioforge {__version__}", "created": _now(), "documents": [], "sources": [os.path.abspath(s) for s in sources], "revisions": [],
@@ -64,17 +69,19 @@ class Workspace:
         return manifest
 
     def load(self) -> dict:
-        return json.loads(self.manifest_path.read_text(encoding="utf-8"))
+        return json.loads(self.manifest_path.read_text(encoding="utf-8", errors="surrogatepass"))
 
     def _write(self, manifest: dict) -> None:
         new = self.manifest_path.with_suffix(".json.tmp")
-        new.write_text(json.dumps(manifest, indent=2, ensure_ascii=False), encoding="utf-8")
+        new.write_text(json.dumps(manifest, indent=2, ensure_ascii=False), encoding="utf-8", errors="surrogatepass")
         new.replace(self.manifest_path)
 
     def capture(self, extracted: DataFrame, originals: bool = True) -> int:
         """Keeps the documents of a run (source rows with content and state); returns how many are new."""
         spark = extracted.sparkSession
         manifest = self.load()
+        (self.root / "journal").mkdir(exist_ok=True)
+        self._take_in(manifest)  # what a run that was lost has left
         root, stamp = str(self.root), _now()
         rows = extracted.filter("files_not_read is null").select(
             "ordinal", "label", F.coalesce("text", F.lit("")).alias("text"), F.col("sha256").alias("original_sha256"), "content", F.to_json("state").alias("state")
@@ -89,26 +96,47 @@ class Workspace:
             os.replace(part, path)
 
         def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = []
-                for r in b.to_pylist():
-                    payload, original = r["text"].encode("utf-8", "surrogatepass"), None
-                    name = safe_name(r["label"], r["original_sha256"] or hashlib.sha256(payload).hexdigest())
-                    if r["content"] is not None and originals:
-                        original = f"originals/{name}"
-                        put(f"{root}/{original}", r["content"])
-                    put(f"{root}/extracted/{name}.txt", payload)
-                    out.append((r["ordinal"], r["label"], original, r["original_sha256"], f"extracted/{name}.txt", hashlib.sha256(payload).hexdigest(), len(r["text"]), stamp, r["state"]))
-                cols = list(zip(*out)) or [()] * 9
-                kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["ordinal", *(x.split()[0] for x in _ENTRY.split(", "))])
-
-        entries = new.select("ordinal", "label", "text", "original_sha256", "content", "state").mapInArrow(keep, "ordinal bigint, " + _ENTRY).orderBy("ordinal").drop("ordinal")
-        made = [r.asDict() for r in entries.toLocalIterator()]
-        for e in made:
-            e["state_when_found"] = json.loads(e["state_when_found"]) if e["state_when_found"] else None
-        manifest["documents"] += made
+            for whole in batches:
+                for at in range(0, whole.num_rows, FLUSH):
+                    entries = []
+                    try:
+                        for r in whole.slice(at, FLUSH).to_pylist():
+                            payload, original = r["text"].encode("utf-8", "surrogatepass"), None
+                            name = safe_name(r["label"], r["original_sha256"] or hashlib.sha256(payload).hexdigest())
+                            if r["content"] is not None and originals:
+                                original = f"originals/{name}"
+                                put(f"{root}/{original}", r["content"])
+                            put(f"{root}/extracted/{name}.txt", payload)
+                            state = json.loads(r["state"]) if r["state"] else None
+                            values = (r["label"], original, r["original_sha256"], f"extracted/{name}.txt", hashlib.sha256(payload).hexdigest(), len(r["text"]), stamp, state)
+                            entries.append([r["ordinal"], dict(zip(_ENTRY, values))])
+                    finally:
+                        if entries:
+                            put(f"{root}/journal/{uuid.uuid4().hex}.json", json.dumps(entries, ensure_ascii=False).encode("utf-8", "surrogatepass"))
+                    yield pa.RecordBatch.from_arrays([pa.array([len(entries)], pa.int64())], names=["n"])
+
+        rows = new.select("ordinal", "label", "text", "original_sha256", "content", "state").mapInArrow(keep, "n bigint")
+        try:
+            rows.agg(F.sum("n")).collect()
+        finally:
+            made = self._take_in(manifest)
+        return made
+
+    def _take_in(self, manifest: dict) -> int:
+        """Adds the journal to the manifest, and writes it; a document that two attempts of a task have kept counts once."""
+        parts = sorted((self.root / "journal").glob("*.json"))
+        if not parts:
+            return 0
+        found = sorted((e for p in parts for e in json.loads(p.read_text(encoding="utf-8", errors="surrogatepass"))), key=lambda e: e[0])
+        known = {(d["label"], d["original_sha256"]) for d in manifest["documents"] if d["original_sha256"]}
+        made = {}
+        for ordinal, e in found:
+            if (e["label"], e["original_sha256"]) not in known:
+                made.setdefault((ordinal, e["label"], e["original_sha256"]), e)
+        manifest["documents"] += made.values()
         self._write(manifest)
+        for p in parts:
+            p.unlink()
         return len(made)
 
     def _previous(self, spark: SparkSession, manifest: dict) -> DataFrame | None:

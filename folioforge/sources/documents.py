@@ -4,14 +4,18 @@
     spark.read.format("documents").option("paths", json.dumps(["/data/in"])).load()
 
 Options: ``paths`` (a JSON list, or one path), ``withText``, ``withState``, ``withContent`` (default true, false, false),
-``archives`` (true: walk into archives), ``read`` (true; false: only list what is there), ``partitions``. Bytes are read and
-parsed in the executors' Python workers; only rows reach the JVM. ``ordinal`` is the place of an input in the walk.
+``archives`` (true: walk into archives), ``read`` (true; false: only list what is there), ``partitions`` (0: one for each 128 MB, 64
+at least). Bytes are read and parsed in the executors' Python workers; only rows reach the JVM. ``ordinal`` is the place of an input
+in the walk.
+
+As a stream, ``seenLog`` names a folder that keeps which files each batch has: a file is new if its path, time or size is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict
 
@@ -24,6 +28,7 @@ from .limits import reason_of
 from .sniff import Outcome, read
 from .walk import ArchiveWalk, Item, Unit, balanced, list_items, open_item
 
+PARTITION_BYTES = 128 << 20
 #: Members of an item have its place in the upper bits of their ordinal.
 MEMBER_BITS = 24
 
@@ -96,7 +101,11 @@ class _Options:
     def __init__(self, options: dict):
         self.paths = _paths(options)
         self.flags = [_flag(options, n, d) for n, d in (("withText", True), ("withState", False), ("withContent", False), ("archives", True), ("read", True))]
-        self.parts = int(options.get("partitions", 64))
+        self.parts = int(options.get("partitions", 0))
+
+    def split(self, items: list[tuple[int, Item]]) -> list[InputPartition]:
+        parts = self.parts or max(64, -(-sum(i.size for _, i in items) // PARTITION_BYTES))
+        return [_Part([(k, asdict(i)) for k, i in part]) for part in balanced(items, parts)]
 
     def rows(self, partition: _Part) -> Iterator[tuple]:
         for major, item in partition.items:
@@ -108,40 +117,67 @@ class DocumentReader(DataSourceReader):
         self.options = _Options(options)
 
     def partitions(self) -> Sequence[InputPartition]:
-        items = list(enumerate(list_items(self.options.paths)))
-        return [_Part([(k, asdict(i)) for k, i in part]) for part in balanced(items, self.options.parts)] or [_Part([])]
+        return self.options.split(list(enumerate(list_items(self.options.paths)))) or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         return self.options.rows(partition)
 
 
 class DocumentStreamReader(DataSourceStreamReader):
-    """New and changed files since the last batch. The offset is a time: files changed after it, up to the new one."""
+    """New and changed files since the last batch. The offset is the number of a batch; what is in each is in the log, one file
+    per batch, written before the batch is announced. A file with an old time that comes late is as new as any other."""
 
     def __init__(self, options: dict):
         self.options = _Options(options)
+        self.log = options.get("seenLog") or options.get("seenlog")
+        if not self.log:
+            raise ValueError("a stream of documents needs a folder seenLog, which keeps what has been read")
+        os.makedirs(self.log, exist_ok=True)
+        self.seen: set[tuple] = set()
+        self.logged = self.count = 0
+
+    def _file(self, batch: int) -> str:
+        return os.path.join(self.log, f"{batch:09d}.json")
+
+    def _entries(self, batch: int) -> tuple[int, list[list]]:
+        with open(self._file(batch), encoding="utf-8") as f:
+            found = json.load(f)
+        return found["first"], found["files"]
+
+    def _catch_up(self) -> None:
+        while os.path.exists(self._file(self.logged + 1)):
+            self.logged += 1
+            first, files = self._entries(self.logged)
+            self.seen.update((path, mtime, size) for path, mtime, size, *_ in files)
+            self.count = first + len(files)
 
     def initialOffset(self) -> dict:
-        return {"until": 0}
+        return {"batch": 0}
 
     def latestOffset(self) -> dict:
-        times = [t for _, t in self._files()]
-        return {"until": max(times, default=0)}
-
-    def _files(self) -> list[tuple[Item, int]]:
-        import os
-
-        out = []
+        self._catch_up()
+        new = []
         for item in list_items(self.options.paths):
             try:
-                out.append((item, os.stat(item.path).st_mtime_ns))
+                mtime = os.stat(item.path).st_mtime_ns
             except OSError:
-                pass
-        return out
+                mtime = 0
+            if (item.path, mtime, item.size) not in self.seen:
+                new.append([item.path, mtime, item.size, item.reason, item.detail, item.files])
+        if new:
+            part = f"{self._file(self.logged + 1)}.part"
+            with open(part, "w", encoding="utf-8") as f:
+                json.dump({"first": self.count, "files": new}, f)
+            os.replace(part, self._file(self.logged + 1))
+            self._catch_up()
+        return {"batch": self.logged}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        new = [(t, i) for i, t in self._files() if start["until"] < t <= end["until"]]
-        return [_Part([(k, asdict(i)) for k, i in part]) for part in balanced([(t >> MEMBER_BITS, i) for t, i in new], self.options.parts)]
+        items = []
+        for batch in range(start["batch"] + 1, end["batch"] + 1):
+            first, files = self._entries(batch)
+            items += [(first + k, Item(path, size, *rest)) for k, (path, _, size, *rest) in enumerate(files)]
+        return self.options.split(items)
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         return self.options.rows(partition)
@@ -169,7 +205,7 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(DocumentSource)
 
 
-def scan(spark: SparkSession, paths: Sequence[str], text: bool = True, state: bool = False, content: bool = False, archives: bool = True, parse: bool = True, partitions: int = 64) -> DataFrame:
+def scan(spark: SparkSession, paths: Sequence[str], text: bool = True, state: bool = False, content: bool = False, archives: bool = True, parse: bool = True, partitions: int = 0) -> DataFrame:
     """Every input under the paths."""
     register(spark)
     options = {"paths": json.dumps(list(paths)), "withText": text, "withState": state, "withContent": content, "archives": archives, "read": parse, "partitions": partitions}

@@ -121,6 +121,15 @@ def _file(path: str) -> Item:
         return Item(path)
 
 
+def _opens(data: bytes) -> bool:
+    """Whether the bytes are an archive that can be walked; a damaged one is read as what its bytes and name say."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)):
+            return True
+    except _DAMAGE:
+        return False
+
+
 class ArchiveWalk:
     """The members of one archive on disk, at all depths, within its budgets."""
 
@@ -134,10 +143,7 @@ class ArchiveWalk:
         try:
             zf = zipfile.ZipFile(io.BytesIO(container) if isinstance(container, bytes) else container)
         except _DAMAGE:
-            if isinstance(container, bytes):
-                yield Unit(prefix, "skip", self.top, reason="unreadable", detail="a damaged archive in an archive")
-            else:
-                yield Unit(prefix, "file")
+            yield Unit(prefix, "file")  # a member is tried before it is walked
             return
         with zf:
             times: dict[str, int] = {}
@@ -173,7 +179,7 @@ class ArchiveWalk:
                 unit.reason, unit.detail = "unreadable", f"{type(e).__name__}: {e}"
         self.members += 1
         if unit.reason is None and data is not None:
-            if zipfile.is_zipfile(io.BytesIO(data)) and not office_format(data):
+            if _opens(data) and not office_format(data):
                 if depth < most.depth:
                     yield from self.units(data, label, depth + 1)
                     return

@@ -12,10 +12,11 @@ from ..sinks.workspace import Workspace
 from ..sources.documents import register
 
 
-def stream(spark: SparkSession, paths: Sequence[str], text: bool = True, state: bool = False, content: bool = False) -> DataFrame:
-    """Rows of the documents source for files that are new or changed since the last batch."""
+def stream(spark: SparkSession, paths: Sequence[str], seen_log: str, text: bool = True, state: bool = False, content: bool = False) -> DataFrame:
+    """Rows of the documents source for files that are new or changed since the last batch. ``seen_log`` is a folder of this stream
+    alone, as its checkpoint is."""
     register(spark)
-    options = {"paths": json.dumps(list(paths)), "withText": str(text), "withState": str(state), "withContent": str(content)}
+    options = {"paths": json.dumps(list(paths)), "withText": str(text), "withState": str(state), "withContent": str(content), "seenLog": seen_log}
     return spark.readStream.format("documents").options(**options).load()
 
 
@@ -27,5 +28,5 @@ def capture_stream(spark: SparkSession, paths: Sequence[str], workspace: Workspa
     def keep(batch: DataFrame, _: int) -> None:
         workspace.capture(batch)
 
-    out = stream(spark, paths, state=True, content=True).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+    out = stream(spark, paths, f"{checkpoint}/seen-files", state=True, content=True).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime="10 seconds")).start()
