@@ -148,13 +148,43 @@ def _found_sql(matches: str) -> str:
 _ASCII = r"regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')"
 _query(_found_sql(rf"regexp_extract_all({_ASCII}, '(?:^|[^0-9])((?:\+1[\s.-]?)?\(?\d\d\d\)?[\s.-]\d\d\d[\s.-]\d\d\d\d)', 1)"), "find_phones")(_found("phone_us"))
 _query(_found_sql(rf"list_filter(regexp_extract_all({_ASCII}, '\b[A-Z0-9][A-Z0-9]+(?:-[A-Z0-9]+)+\b'), lambda x: regexp_matches(x, '\d'))"), "find_identifiers")(_found("identifier"))
-_query(_found_sql(r"regexp_extract_all(text, 'https?://[^\s<>\x22]+')"), "find_urls")(_found("url"))
-_query(_found_sql(rf"regexp_extract_all({_ASCII}, '\b\d\d\d\d-\d\d-\d\d\b')"), "find_dates")(_found("date_iso"))
 # an underscore is a word character too, and none of these tables' addresses has one
 _UNDERSCORED = r"regexp_replace(text, '[^\x00-\x7F]', '_', 'g')"
 _query(_found_sql(rf"regexp_extract_all({_UNDERSCORED}, '\b[A-Za-z0-9.%+-]{{1,64}}@[A-Za-z0-9.-]{{1,255}}\.[A-Za-z]{{2,}}\b')"), "find_emails")(_found("email"))
-_query(_found_sql(rf"regexp_extract_all({_ASCII}, '(?:^|[^\w.])(\d{{1,3}}(?:\.\d+)?\s?%)', 1)"), "find_percents")(_found("percent"))
-_query(_found_sql(r"regexp_extract_all(text, '(?:^|[^\w.])([$£€]\s?\d{1,3}(?:,\d{3})*(?:\.\d{2})?)(?:$|\W)', 1)"), "find_money")(_found("money"))
+
+# values made from orders between what looks like them: what is found must be just these, in this order
+_MADE = {
+    "urls": ("url", ["concat('see https://example.com/o/', o_orderkey, '?a=1#x, <http://x.org/', o_custkey, '> or ftp://no.example http:/ HTTPS://É.example/', o_orderkey)"], ["'https://example.com/o/' || o_orderkey || '?a=1#x,'", "'http://x.org/' || o_custkey", "'HTTPS://É.example/' || o_orderkey"]),
+    "dates": ("date_iso", ["concat('on ', date_format(o_orderdate, 'yyyy-MM-dd'), ', not 1996-1-2 or 11996-01-02; due ', date_format(o_orderdate, 'yyyy-MM'), '-28x ', date_format(o_orderdate, 'yyyy'), '-12-31.')"], ["strftime(o_orderdate, '%Y-%m-%d')", "strftime(o_orderdate, '%Y') || '-12-31'"]),
+    "us_dates": ("date_us", ["concat('on ', o_orderkey % 12 + 1, '/', o_orderkey % 28 + 1, '/', date_format(o_orderdate, 'yyyy'), ', 1/2, 123/4/2024, 1/2/', 10 + o_orderkey % 90)"], ["(o_orderkey % 12 + 1) || '/' || (o_orderkey % 28 + 1) || '/' || strftime(o_orderdate, '%Y')", "'1/2/' || (10 + o_orderkey % 90)"]),
+    "long_dates": ("date_long", ["concat('on March ', o_orderkey % 28 + 1, ', ', date_format(o_orderdate, 'yyyy'), ' but not march 3, 2024 or May 123, 2024; December  ', o_orderkey % 9 + 1, '  1999')"], ["'March ' || (o_orderkey % 28 + 1) || ', ' || strftime(o_orderdate, '%Y')", "'December  ' || (o_orderkey % 9 + 1) || '  1999'"]),
+    "percents": ("percent", ["concat('up ', o_orderkey % 100, '.5 % of 7%, not a5% or 1.2.3% or 1234%; ', o_custkey % 1000, '%')"], ["(o_orderkey % 100) || '.5 %'", "'7%'", "(o_custkey % 1000) || '%'"]),
+    "money": ("money", ["concat('$', 1 + o_orderkey % 999, ',', lpad(o_custkey % 1000, 3, '0'), '.50 then £', 1 + o_orderkey % 9, ' not US$9 or $1x or $12345 but (€ 7)')"], ["'$' || (1 + o_orderkey % 999) || ',' || lpad((o_custkey % 1000)::varchar, 3, '0') || '.50'", "'£' || (1 + o_orderkey % 9)", "'€ 7'"]),
+}
+for _name, (_kind, (_text,), _values) in _MADE.items():
+
+    def _found_made(spark: SparkSession, sf_dir: str, kind: str = _kind, made: str = _text) -> DataFrame:
+        orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.expr(made).alias("text"))
+        return orders.select("o_orderkey", F.posexplode(detectors.find_values("text", kind)).alias("place", "value")).select("o_orderkey", F.col("place").cast("long").alias("place"), "value")
+
+    _query(f"WITH f AS (SELECT o_orderkey, [{', '.join(_values)}] AS v FROM orders) SELECT o_orderkey, CAST(unnest(range(0, len(v))) AS bigint) AS place, unnest(v) AS value FROM f", f"find_{_name}")(_found_made)
+
+
+@_query("""SELECT n_nationkey, CAST(0 AS bigint) AS place, sha256('AA' || repeat('-A' || n_nationkey, 20000)) AS value_sha256 FROM nation
+UNION ALL SELECT n_nationkey, 1, sha256('B2-' || n_nationkey) FROM nation""")
+def find_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of 60,000 parts' length, at which a matcher that recurses runs out of stack."""
+    key = F.col("n_nationkey").cast("string")
+    docs = _t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("x AA"), F.repeat(F.concat(F.lit("-A"), key), F.lit(20000)), F.lit(" , B2-"), key, F.lit("-q")).alias("text"))
+    found = docs.select("n_nationkey", F.posexplode(detectors.find_values("text", "identifier")).alias("place", "value"))
+    return found.select("n_nationkey", F.col("place").cast("long").alias("place"), F.sha2("value", 256).alias("value_sha256"))
+
+
+@_query("SELECT n_nationkey, 200000 + length(n_nationkey::varchar) + 4 AS n FROM nation")
+def field_regex_repeated_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field whose group repeats 100,000 times."""
+    docs = _t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("no="), F.repeat(F.lit("ab"), F.lit(100_000)), F.col("n_nationkey").cast("string"), F.lit("cdef.")).alias("text"))
+    return docs.select("n_nationkey", F.length(Field.parse(r"n=no=((?:ab|[0-9]|c|def)*)\.").column()).alias("n"))
 
 
 @_query(f"""WITH {_INVOICE} SELECT ordinal, CAST(ordinal AS varchar) AS number, day FROM inv""")
@@ -183,6 +213,8 @@ _READ = {
     "xlsx": "'0' || chr(9) || l[1] || chr(10) || '1' || chr(9) || l[2] || chr(10) || '2' || chr(9) || l[3]",
     "eml": "'From: office@example.com' || chr(10) || 'To: client@example.com' || chr(10) || 'Subject: ' || l[1] || chr(10) || chr(10) || l[2] || chr(10) || l[3]",
     "csv": "l[1] || chr(9) || '0' || chr(9) || 'a,b' || chr(10) || l[2] || chr(9) || '1' || chr(9) || 'a,b' || chr(10) || l[3] || chr(9) || '2' || chr(9) || 'a,b'",
+    "mbox": "'--- message 1 ---' || chr(10) || 'From: office@example.com' || chr(10) || 'Subject: ' || l[1] || chr(10) || chr(10) || l[2] || chr(10) || '--- message 2 ---' || chr(10) || 'From: office@example.com' || chr(10) || 'Subject: ' || l[1] || chr(10) || chr(10) || l[3]",
+    "mapped.pdf": "array_to_string(l, chr(10))",
     "json": "'title: ' || l[1] || chr(10) || 'lines[0]: ' || l[2] || chr(10) || 'lines[1]: ' || l[3]",
 }
 
@@ -197,7 +229,7 @@ for _kind in FORMATS:
     def _read(spark: SparkSession, sf_dir: str, kind: str = _kind) -> DataFrame:
         return rendered(_part_lines(spark, sf_dir), kind).select("ordinal", extract_text("content", "name").alias("x")).select("ordinal", "x.format", "x.text", "x.status")
 
-    _query(f"WITH p AS (SELECT p_partkey AS ordinal, {_LINES} AS l FROM part) SELECT ordinal, '{_kind}' AS format, {_READ[_kind]} AS text, 'read' AS status FROM p", f"read_{_kind}")(_read)
+    _query(f"WITH p AS (SELECT p_partkey AS ordinal, {_LINES} AS l FROM part) SELECT ordinal, '{_kind.rpartition('.')[2]}' AS format, {_READ[_kind]} AS text, 'read' AS status FROM p", f"read_{_kind.replace('.', '_')}")(_read)
 
 
 @_query("SELECT event_id, 'k: ' || regexp_extract(props, '[0-9]+') AS text FROM events")
@@ -343,6 +375,17 @@ def revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.diff(old, new)
 
 
+@_query("""WITH i AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY ALL),
+o AS (SELECT CAST(l_orderkey AS varchar) AS file, arg_max(q, l_linenumber) FILTER (l_linenumber <= 2) AS a, arg_max(q, l_linenumber) AS b FROM i GROUP BY l_orderkey)
+SELECT file, 'quantity' AS "column", CAST(CAST(a AS decimal(18,2)) AS varchar) AS "from", CAST(CAST(b AS decimal(18,2)) AS varchar) AS "to" FROM o WHERE a <> b
+UNION ALL SELECT file, '*', NULL, '(added)' FROM o WHERE a IS NULL""")
+def revision_diff_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are repeated: the last row of each counts."""
+    items = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("decimal(18,2)").cast("string").alias("quantity"))
+    items = items.select(F.col("l_orderkey").cast("string").alias("file"), "quantity", F.col("l_linenumber").alias("at"))
+    return revisions.diff(items.filter("at <= 2"), items, order="at")
+
+
 @_query("SELECT source || doc_id AS label, sha256(text) AS original_sha256 FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
 def capture_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select(F.concat("source", F.col("doc_id").cast("string")).alias("label"), F.sha2("text", 256).alias("original_sha256"), "doc_id")
@@ -357,7 +400,48 @@ def verify_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.verify(docs.select("path", "kind", "sha256"), found)
 
 
-# --- the source itself, over the folder of the tables: none of them is a document, and each is accounted for
+# --- the source itself: over a tree of files and archives made of nations, and over the folder of the tables
+
+_FILED = """WITH n AS (SELECT n_nationkey AS k, n_regionkey AS g, n_name || ' of ' || n_regionkey AS t FROM nation),
+f AS (SELECT CASE k % 5 WHEN 0 THEN 'f' || k || '.txt' WHEN 1 THEN 'sub/f' || k || '.md' WHEN 3 THEN 'f' || k || '.png' ELSE 'zero' || k || '.txt' END AS label,
+    CASE k % 5 WHEN 3 THEN 'image_no_text_layer' WHEN 4 THEN 'empty_file' ELSE 'read' END AS status, CASE WHEN k % 5 < 2 THEN t END AS text FROM n WHERE k % 5 <> 2),
+h AS (SELECT '.hidden' || g AS label, 'hidden_directory' AS status, NULL AS text FROM n WHERE k % 5 = 2 GROUP BY g),
+i AS (SELECT *, unnest(['', 'inner.zip!']) AS inside FROM n),
+m AS (SELECT 'g' || g || '.zip!' || inside || 'm' || k || '.txt' AS label, 'read' AS status, t AS text, k, t, '' AS again FROM i
+    UNION ALL SELECT 'g' || g || '.zip!' || inside || 'm' || k || '.txt#2', 'read', t, k, t, '#2' FROM i WHERE k % 2 = 0)"""
+
+
+def _filed(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The tree's inputs, with their labels below its root. The 25 nations are the driver's own list."""
+    from ..sources.documents import scan
+    from .filed import tree
+
+    nations = _t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.concat("n_name", F.lit(" of "), F.col("n_regionkey").cast("string")))
+    root = tree(spark, [(int(a), int(b), c) for a, b, c in nations.collect()])
+    return scan(spark, [root], partitions=4, **options).withColumn("label", F.substring("label", len(root) + 2, 10_000))
+
+
+@_query(_FILED + " SELECT label, status, text FROM f UNION ALL SELECT * FROM h UNION ALL SELECT label, status, text FROM m")
+def source_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every input is one unit: files, members at all depths, what is passed over."""
+    return _filed(spark, sf_dir).select("label", "status", "text")
+
+
+@_query(_FILED + " SELECT label, 'listed' AS status FROM f WHERE status IN ('read', 'empty_file') UNION ALL SELECT label, status FROM f WHERE status = 'image_no_text_layer' UNION ALL SELECT label, status FROM h UNION ALL SELECT label, 'listed' FROM m")
+def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filed(spark, sf_dir, parse=False, text=False).select("label", "status")
+
+
+@_query(_FILED + " SELECT label, 'm' || k || '.txt' AS name, CAST(strlen(t) AS bigint) AS size_bytes, 'read' AS read_result, sha256(t) AS sha256, length(t) AS characters_extracted FROM m")
+def source_datasheet_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _filed(spark, sf_dir, state=True)
+    sheet = tables.datasheet(found).join(found.select("ordinal", "label"), "ordinal").filter("compressed_bytes is not null")
+    return sheet.select("label", "name", F.col("size_bytes").cast("bigint").alias("size_bytes"), "read_result", "sha256", F.col("characters_extracted").cast("bigint").alias("characters_extracted"))
+
+
+@_query(_FILED + ", a AS (SELECT label, status FROM f UNION ALL SELECT label, status FROM h UNION ALL SELECT label, status FROM m) SELECT status, count(*) AS n FROM a GROUP BY status")
+def source_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filed(spark, sf_dir, text=False).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query()

@@ -79,8 +79,30 @@ def pdf(lines: Lines) -> bytes:
     return b"%PDF-1.4\n1 0 obj << /Filter /FlateDecode /Length " + str(len(stream)).encode() + b" >>\nstream\n" + stream + b"\nendstream endobj\ntrailer << >>\n%%EOF\n"
 
 
+def mbox(lines: Lines) -> bytes:
+    """A mailbox with a message for each line but the first, which is the subject of all."""
+    return "".join(f"From office@example.com Mon Jan  1 00:00:00 2024\nFrom: office@example.com\nSubject: {lines[0]}\n\n{x}\n\n" for x in lines[1:]).encode()
+
+
+def mapped_pdf(lines: Lines) -> bytes:
+    """A PDF whose font has codes of its own, of two bytes, and a map from them: single entries, a range and a list."""
+    known = sorted({c for x in lines for c in x})
+    small = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    rest = [c for c in known if c not in small]
+    code = {c: 0x100 + k for k, c in enumerate(small)} | {c: 0x300 + 7 * k for k, c in enumerate(rest)}
+    hexed = lambda c: c.encode("utf-16-be").hex().upper()
+    half = len(rest) // 2
+    chars = "".join(f"<{code[c]:04X}> <{hexed(c)}>\n" for c in rest[:half])
+    lists = "".join(f"<{code[c]:04X}> <{code[c]:04X}> [<{hexed(c)}>]\n" for c in rest[half:])
+    cmap = f"1 beginbfrange\n<0100> <0119> <0061>\nendbfrange\n{half} beginbfchar\n{chars}endbfchar\n{len(rest) - half} beginbfrange\n{lists}endbfrange\n"
+    shown = "".join(f"<{''.join(f'{code[c]:04X}' for c in x)}> Tj 0 -14 Td\n" for x in lines)
+    stream = lambda n, body: f"{n} 0 obj << /Length {len(body)} >>\nstream\n{body}\nendstream endobj\n"
+    head = "%PDF-1.7\n1 0 obj << /Type /Page /Resources << /Font << /F7 2 0 R >> >> /Contents 4 0 R >> endobj\n2 0 obj << /Type /Font /Subtype /Type0 /ToUnicode 3 0 R >> endobj\n"
+    return (head + stream(3, cmap) + stream(4, f"BT /F7 12 Tf 72 700 Td\n{shown}ET") + "trailer << >>\n%%EOF\n").encode("latin-1")
+
+
 FORMATS: dict[str, Callable[[Lines], bytes]] = {
-    "docx": docx, "pptx": pptx, "xlsx": xlsx, "odt": odt, "eml": eml, "rtf": rtf, "xml": xml, "html": html, "csv": csv, "json": json_document, "pdf": pdf,
+    "docx": docx, "pptx": pptx, "xlsx": xlsx, "odt": odt, "eml": eml, "rtf": rtf, "xml": xml, "html": html, "csv": csv, "json": json_document, "pdf": pdf, "mbox": mbox, "mapped.pdf": mapped_pdf,
 }
 
 
