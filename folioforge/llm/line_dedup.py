@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, materialize, mixed, only, pieces, powers, text_bytes
+from .common import Words, blocks, fresh, materialize, mixed, only, pieces, powers, text_bytes
 
 
 _EDGES = ("e0", "e1", "e2", "e3")
@@ -183,12 +183,13 @@ def removals(documents: DataFrame, min_words: int = 1, near_words: int = 5, broa
 
 def dedup(documents: DataFrame, min_words: int = 1, near_words: int = 5, n_lines: str = "n_lines", n_removed: str = "n_removed", broadcast_lines: int = 500_000) -> DataFrame:
     """The documents with all their columns, their texts without the removed lines, and two counts."""
-    gone = removals(documents, min_words, near_words, broadcast_lines).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
-    found = documents.join(gone, (documents["doc_id"] == gone["__doc"]) & (F.xxhash64(documents["text"]) == gone["__h"]), "left")
+    doc, h, lost = fresh(documents, "__doc", "__h", "__gone")
+    gone = removals(documents, min_words, near_words, broadcast_lines).select(F.col("doc_id").alias(doc), F.col("h").alias(h), F.col("gone").alias(lost))
+    found = documents.join(gone, (documents["doc_id"] == gone[doc]) & (F.xxhash64(documents["text"]) == gone[h]), "left")
     lines = F.split(F.col("text"), "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col(lost), i)), "\n")
     names = documents.columns
     return found.select(
-        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
-        F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size(F.when(F.col("__gone").isNotNull(), F.col("__gone"))), F.lit(0)).cast("long").alias(n_removed),
+        *[F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
+        F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size(F.when(F.col(lost).isNotNull(), F.col(lost))), F.lit(0)).cast("long").alias(n_removed),
     )

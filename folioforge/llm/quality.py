@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import fresh, only
 
 _SPACE = r"[ \t-\r]+"
 _STRIP = "' \\t\\n\\u000b\\f\\r'"
@@ -158,7 +158,8 @@ def score(documents: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "
 
 def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    return score(documents, rules, "__quality").filter("__quality.kept").drop("__quality")
+    (column,) = fresh(documents, "__quality")
+    return score(documents, rules, column).filter(F.col(column).kept).drop(column)
 
 
 def weights_by_rule(model: tuple[float, list[list[float]]], rules: tuple[Rule, ...] = RULES) -> Mapping[str, dict[str, float]]:

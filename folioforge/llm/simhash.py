@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from .common import Words, blocks, materialize, only, pieces, text_bytes
+from .common import Words, blocks, fresh, materialize, only, pieces, text_bytes
 from .components import components
 
 SEED = 42
@@ -188,7 +188,8 @@ def first_rows(documents: DataFrame, kept: DataFrame) -> DataFrame:
     found = documents.join(kept, (documents["doc_id"] == kept["__kept"]) & (F.xxhash64(documents["text"]) == kept["__h"]), "left_semi")
     order = [F.col(f"`{x.name}`") for x in documents.schema if isinstance(x.dataType, AtomicType) and x.name not in ("doc_id", "text")]
     copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*order or ["doc_id"])
-    return found.withColumn("__copy", F.row_number().over(copies)).filter("__copy = 1").drop("__copy")
+    (copy,) = fresh(documents, "__copy")
+    return found.withColumn(copy, F.row_number().over(copies)).filter(F.col(copy) == 1).drop(copy)
 
 
 def keep_one(documents: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:

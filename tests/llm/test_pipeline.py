@@ -89,3 +89,32 @@ def test_near_dedup_leaves_no_near_copy(spark, sf_dir):
     rows = [(1, " ".join(w)), (2, " ".join([*w[:50], "other", *w[51:]])), (3, " ".join([*w[:90], "other", *w[91:150], "words", *w[151:]])), (4, " ".join(reversed(w)))]
     docs = spark.createDataFrame([(*r, "en", None, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r[0] for r in rows_of(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir))) == [1, 4]
+
+
+@pytest.mark.parametrize("table", ["documents", "benchmark"])
+def test_pipeline_of_empty_tables(spark, sf_dir, tmp_path, table):
+    for name in ("documents", "benchmark"):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        (df.limit(0) if name == table else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    n = corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert n == 0 if table == "documents" else n > 20
+
+
+def test_pipeline_keeps_columns_with_its_own_names(spark, sf_dir):
+    """Columns named like the stages' own stay as they are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 40 or doc_id > 1990 or doc_id is null")
+    own = ("__kept", "__doc", "__row", "__h", "__gone", "__copy", "__lines", "__removed", "__quality", "h", "quality")
+    named = docs.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in own])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, found = stage(spark, docs, sf_dir), stage(spark, named, sf_dir)
+        assert found.columns == named.columns
+        assert sorted(map(str, rows_of(found))) == sorted(map(str, rows_of(plain))), name
+        assert all(r[c] == f"{c} {'-' if r.doc_id is None else r.doc_id}" for r in found.collect() for c in own), name
+
+
+def test_tables_on_the_way_are_deleted(spark, sf_dir):
+    from folioforge.llm import common
+
+    since = common.tables_so_far()
+    corpus_pipeline.run(spark, sf_dir)
+    assert common.tables_so_far() == since + 1
