@@ -190,3 +190,40 @@ def base_pii(t):
         if 16 <= len(d) <= 19 and sum(v - 9 * (v > 9) for v in double) % 10 == 0:
             out.append(("card", *m.span()))
     return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def op8_kept(rows):
+    """Which documents the label model keeps: its rules and its expectation-maximisation, in numpy over documents instead of patterns."""
+    import numpy as np
+
+    votes, base = [], []
+    for _, text in rows:
+        t, w = text or "", words(text)
+        n, chars, symbols, dup, repeat, failed = op8(text)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        closed = sum(x.rstrip(" ")[-1:] in tuple('.!?:"”»…)') for x in lines)
+        letterless = sum(not any(c.isascii() and c.isalpha() or ord(c) >= 128 for c in x) for x in w)
+        upper = len(re.findall("[A-ZÀ-ÖØ-Þ]", t))
+        rules = [
+            (symbols >= 0.3 * n, symbols <= 0.05 * n), (chars < 3 * n or chars > 7.5 * n, 3.8 * n <= chars <= 6.8 * n), (letterless > 0.2 * n, letterless <= 0.05 * n), (closed < 0.3 * len(lines), closed >= 0.7 * len(lines)),
+            (dup > 0.4 * len(lines), dup <= 0.1 * len(lines)), (repeat > 0.3 * n, repeat <= 0.1 * n), (upper > 0.5 * chars, upper <= 0.2 * chars),
+        ]
+        votes.append([2 if bad else 1 if good else 0 for bad, good in rules])
+        base.append(not failed)
+    v, ok = np.array(votes), np.array(base)
+    if not ok.any():
+        return [False] * len(rows)
+    x = v[ok]
+    bad = np.where((x == 2).any(axis=1), 0.9, 0.05)
+
+    def odds(y):
+        total = np.full(len(y), np.log((bad.sum() + 1) / ((1 - bad).sum() + 9)))
+        for j in range(x.shape[1]):
+            as_bad = np.array([2.0, 4.0, 2.0]) + [(bad * (x[:, j] == k)).sum() for k in range(3)]
+            as_good = np.array([2.0, 8.0, 0.5]) + [((1 - bad) * (x[:, j] == k)).sum() for k in range(3)]
+            total += np.log(as_bad / as_bad.sum())[y[:, j]] - np.log(as_good / as_good.sum())[y[:, j]]
+        return total
+
+    for _ in range(299):
+        bad = 1 / (1 + np.exp(np.clip(odds(x), -500, 500) * -1))
+    return (ok & (odds(v) <= 0)).tolist()

@@ -206,6 +206,21 @@ def test_quality_long_repeats_take_the_sorted_way(spark):
     assert sorted(map(tuple, found)) == sorted(brute.op8(t) for _, t in rows)
 
 
+def test_quality_verdict_against_a_plain_model(spark):
+    rng = random.Random(12)
+    rows = list(ROWS)
+    for k in range(120):
+        w = brute.words(ROWS[k % 50][1])[:150] * 2
+        kind = k % 6
+        text = " ".join(x + "#" * (kind == 0) if rng.random() < 0.8 else x for x in w) if kind < 2 else " ".join(w).upper() if kind == 2 else "\n".join(" ".join(w[i : i + 4]) for i in range(0, len(w), 4)) if kind == 3 else " ".join(x if rng.random() < 0.6 else "1" for x in w)
+        rows.append((5000 + k, text))
+    rows += [(6000 + k, "\n".join(" ".join(rng.choice("abcdefgh") + "elnorst"[: rng.randint(2, 7)] for _ in range(20)) + "." for _ in range(6))) for k in range(60)]
+    found = quality.features(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).cache()
+    kept = {r.doc_id: r.kept for r in quality.verdict(found, quality.fit(found)).collect()}
+    want = brute.op8_kept(rows)
+    assert [kept[k] for k in range(len(rows))] == want and 20 < sum(want) < len(rows) - 20
+
+
 def test_quality_label_model(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("aeinorstl") for _ in range(rng.randint(3, 7)))
