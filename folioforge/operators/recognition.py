@@ -43,10 +43,10 @@ def _once(struct: Column) -> Column:
 
 
 def _classes(line: Column, registry: Sequence[Detector]) -> Column:
-    """What a line is: c (colon pair), g (gap pair), l (label), v (value), b (break); with its label and value."""
+    """What a line, without white space at its end, is: c (colon pair), g (gap pair), l (label), v (value), b (break); with its label and value."""
     return F.struct(
         line.alias("line"),
-        F.when(is_blank(line), "b").when(line.rlike(_COLON), "c").when(line.rlike(_COLUMN), "g")
+        F.when(line == "", "b").when(F.contains(line, F.lit(":")) & line.rlike(_COLON), "c").when(line.rlike(_COLUMN), "g")
         .when(line.rlike(_ALONE) & (classify(strip(line), tuple(registry)) == "text"), "l").otherwise("v").alias("kind"),
     )
 
