@@ -308,6 +308,10 @@ def test_language_id(spark, empty):
     assert edge[500].lang_pred == edge[501].lang_pred == "und" and edge[500].score == 0 and edge[None].lang_pred == "aa"
     many = df.select("doc_id", "text", F.concat("lang", (F.col("doc_id") % 100).cast("string")).alias("lang"))
     assert len(language_id.fit(many, most_chars=100_000).dictionaries) == many.select("lang").distinct().count() - 1 >= 100
+    twins = language_id.Model({"x": "abc def ghi ".encode() * 50, "y": "abc def ghi ".encode() * 50})
+    assert twins.predict("def ghi abc") == ("x", 0.0)  # of equal sizes the more frequent language's
+    odd = spark.createDataFrame([(1, "the of thing over where with " * 60_000, "bb"), (2, "der und", None), (2, "der und", None)], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id, r.lang_pred) for r in language_id.classify(odd, model).collect()) == [(1, "aa"), (2, "bb"), (2, "bb")]
     none = language_id.fit(empty)
     assert {r.lang_pred for r in language_id.classify(held, none).collect()} == {"und"}
     assert language_id.classify(empty, model).count() == 0
