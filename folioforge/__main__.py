@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from . import __version__
 
+#: Changes of a corrected table that are printed.
+SHOWN = 20
 
 _SWITCHES = {
     "--json": "write objects, one to a line", "-q --quiet": "print no summary", "--batch": "make tables of all that lies under the paths", "--recognize": "find the columns that the documents have in common",
@@ -103,10 +105,12 @@ def _workspace(args: argparse.Namespace) -> int:
         print(f"read as {encoding}; nothing is changed, so nothing was filed")
         return 0
     print(f"read as {encoding}; filed as revision {entry['revision']} with {entry['change_count']} changes")
-    for c in entry["changes_from_previous"][:20]:
-        print(f"  {os.path.basename(c['file'] or '')}: {c['column']}: {c['from']!r} -> {c['to']!r}")
-    if entry["change_count"] > 20:
-        print(f"  and {entry['change_count'] - 20} more")
+    shown = entry["changes_from_previous"][:SHOWN]
+    for change in shown:
+        cell = f"{os.path.basename(change['file'] or '')} [{change['column']}]"
+        print(f"  {cell} was {change['from']!r}, is {change['to']!r}")
+    if rest := entry["change_count"] - len(shown):
+        print(f"  {rest} further changes aren't shown")
     return 0
 
 

@@ -1,4 +1,4 @@
-"""The registered queries of the document engine, each with the SQL of what it must give where SQL can say it."""
+"""The registered queries of the document engine, each with the SQL of what it must give."""
 
 from __future__ import annotations
 
@@ -19,11 +19,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+def _query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLES[name or f.__name__] = sql
+        ORACLES[name or f.__name__] = sql
         return f
 
     return add
@@ -400,7 +399,7 @@ def verify_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.verify(docs.select("path", "kind", "sha256"), found)
 
 
-# --- the source itself: over a tree of files and archives made of nations, and over the folder of the tables
+# --- the source itself, over a tree of files and archives made of nations
 
 _FILED = """WITH n AS (SELECT n_nationkey AS k, n_regionkey AS g, n_name || ' of ' || n_regionkey AS t FROM nation),
 f AS (SELECT CASE k % 5 WHEN 0 THEN 'f' || k || '.txt' WHEN 1 THEN 'sub/f' || k || '.md' WHEN 3 THEN 'f' || k || '.png' ELSE 'zero' || k || '.txt' END AS label,
@@ -442,17 +441,3 @@ def source_datasheet_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_FILED + ", a AS (SELECT label, status FROM f UNION ALL SELECT label, status FROM h UNION ALL SELECT label, status FROM m) SELECT status, count(*) AS n FROM a GROUP BY status")
 def source_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filed(spark, sf_dir, text=False).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@_query()
-def source_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.documents import scan
-
-    return scan(spark, [sf_dir], text=False).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-
-
-@_query()
-def source_datasheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.documents import scan
-
-    return tables.datasheet(scan(spark, [sf_dir], text=False, state=True, parse=False)).drop("captured_at", "accessed", "ordinal")
