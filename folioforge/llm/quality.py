@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, only
+from .common import fresh, materialize, only
 
 _SPACE = r"[ \t-\r]+"
 _STRIP = "' \\t\\n\\u000b\\f\\r'"
@@ -146,12 +146,12 @@ def verdict(found: DataFrame, model: tuple[float, list[list[float]]], rules: tup
 
 
 def score(documents: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "quality") -> DataFrame:
-    """The documents with all their columns and a struct of the features, p_good and kept. The texts are read twice:
-    for the pattern counts and for the scores."""
-    model = fit(features(documents), rules)
+    """The documents with all their columns and a struct of the features, p_good and kept. The features are made once, and written
+    with their rows to the shared folder for the pattern counts and for the scores."""
     names = documents.columns
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("text").alias("text"))
-    found = verdict(_with_features(packed, ["__row"]), model, rules)
+    found = materialize(_with_features(packed, ["__row"]), "features")
+    found = verdict(found, fit(found, rules), rules)
     own = [c for c in found.columns if c != "__row"]
     return found.select(*[F.col("__row").getField(c).alias(c) for c in names], F.struct(*own).alias(column))
 
