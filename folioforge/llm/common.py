@@ -83,6 +83,15 @@ def delete_tables(spark: SparkSession, since: int, keep: int = 1) -> None:
     del _TABLES[since : len(_TABLES) - keep]
 
 
+def delete_table(df: DataFrame) -> None:
+    """Deletes a table of ``materialize`` that no later plan reads."""
+    files = df.inputFiles()
+    for path in [x for x in _TABLES if any(x.rpartition("/")[2] in f.split("/") for f in files)]:
+        fs, place = _file_system(df.sparkSession, path)
+        fs.delete(place, True)
+        _TABLES.remove(path)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns and no others, so that further columns of the input can't clash with the operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])

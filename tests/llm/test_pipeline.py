@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioforge.llm import quality
+from folioforge.llm import near_copies, quality
+from folioforge.llm.common import tables_so_far
 from folioforge.llm.queries import QUERIES
 
 from . import brute
@@ -91,6 +94,47 @@ def test_near_dedup_leaves_no_near_copy(spark, sf_dir):
     assert sorted(r[0] for r in rows_of(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir))) == [1, 4]
 
 
+def test_near_dedup_fetches_the_texts_of_likely_copies_only(spark, monkeypatch):
+    """Unlike texts that meet in many buckets make no texts move, and shuffle files and tables go."""
+    rng = random.Random(6)
+    phrases = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(x for p in rng.sample(phrases, 12) for x in (p, str(rng.randrange(10**9)))) for _ in range(300)]
+    texts += [f"{t} end" for t in texts[:5]] + texts[5:8]
+    docs = spark.createDataFrame([*enumerate(texts), (2, texts[2])], "doc_id long, text string").repartition(3)
+    sizes, materialize = {}, near_copies.materialize
+
+    def counted(df, name):
+        out = materialize(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    monkeypatch.setattr(near_copies, "_OFTEN", 10**9)  # as in a large table, where a sample doesn't show what is frequent
+    since, name = tables_so_far(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    got = rows_of(near_copies.keep_one(docs))
+    assert sorted(got) == sorted(brute.near_copies(rows_of(docs.distinct()))) == sorted(enumerate(texts[:300]))
+    assert sizes["near-texts"] == 10
+    assert sizes["shared-keys"] > 300 and sizes["near-links"] == 5
+    assert tables_so_far() == since + 1 and spark.conf.get(name) == before
+
+
+def test_bitmaps_rule_out_no_similar_pair():
+    rng = np.random.default_rng(3)
+    t, ruled_out = Fraction(4, 5), 0
+    for _ in range(3000):
+        n, changed, more = rng.integers(1, 700), rng.integers(0, 120), rng.integers(0, 120)
+        x = rng.integers(-(2**63), 2**63, n)
+        y = np.concatenate((x[changed:], rng.integers(-(2**63), 2**63, more)))
+        if not len(y):
+            continue
+        both, may = max(0, n - changed), near_copies.may_be_similar(n, near_copies.bitmap(x), len(y), near_copies.bitmap(y), t)
+        assert may or 5 * both < 4 * (n + len(y) - both)
+        assert may == near_copies.may_be_similar(len(y), near_copies.bitmap(y), n, near_copies.bitmap(x), t)
+        ruled_out += not may
+    assert ruled_out > 1000
+
+
 @pytest.mark.parametrize("table", ["documents", "benchmark"])
 def test_pipeline_of_empty_tables(spark, sf_dir, tmp_path, table):
     for name in ("documents", "benchmark"):
