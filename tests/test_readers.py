@@ -74,6 +74,18 @@ def test_message():
     assert text == "From: a@b.c\nSubject: Hi\n\nPlain\n\nAttachments: t.csv"
 
 
+def test_headers_are_parsed_once(monkeypatch):
+    asked = []
+    parse = mail._parse
+    mail._parsed.cache_clear()
+    monkeypatch.setattr(mail, "_parsed", mail.lru_cache(9)(lambda name, value: asked.append(name) or parse(name, value)))
+    for k in range(20):
+        text = mail.read_message(f"From: \"Doe, J\" <j@x.org>\nTo: a@b.co\nSubject: No  {k}\nContent-Type: text/plain; charset=utf-8\n\nbody".encode())
+        assert text == f'From: "Doe, J" <j@x.org>\nTo: a@b.co\nSubject: No  {k}\n\nbody'
+    assert sorted(asked) == ["Content-Type", "From", "To"]
+    assert mail.read_message(b"Subject: =?utf-8?q?caf=C3=A9?= x\nFrom: a@b.co\n\n") == "From: a@b.co\nSubject: caf\u00e9 x"
+
+
 def test_mailbox():
     text = mail.read_mailbox(b"From a\nSubject: One\n\nbody 1\nFrom b\nSubject: Two\n\nbody 2\n")
     assert text == "--- message 1 ---\nSubject: One\n\nbody 1\n--- message 2 ---\nSubject: Two\n\nbody 2"
