@@ -6,7 +6,7 @@ import os
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,13 +74,18 @@ def extract_archive(path: str | os.PathLike, max_members: int = 500, require_tex
 
 
 _OUTCOME = T.StructType([T.StructField(n, T.StringType()) for n in ("format", "text", "status", "detail")])
+#: Documents of a batch that are Python objects at a time.
+_SLICE = 256
 
 
-@F.pandas_udf(_OUTCOME)
-def extract_text(content: pd.Series, name: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_OUTCOME)
+def extract_text(content: pa.Array, name: pa.Array) -> pa.Array:
     """Format, text, status (read, or the reason) and detail of documents given as bytes and names."""
-    found = [_sniff.read(bytes(c) if c is not None else b"", n or "") for c, n in zip(content, name)]
-    return pd.DataFrame([(o.format, o.text, o.status, o.detail) for o in found], columns=["format", "text", "status", "detail"])
+    parts = []
+    for k in range(0, len(content), _SLICE):
+        found = [_sniff.read(c or b"", n or "") for c, n in zip(content.slice(k, _SLICE).to_pylist(), name.slice(k, _SLICE).to_pylist())]
+        parts.append(pa.StructArray.from_arrays([pa.array([getattr(o, n) for o in found], pa.string()) for n in _OUTCOME.names], _OUTCOME.names))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(n, pa.string()) for n in _OUTCOME.names]))
 
 
 @F.udtf(returnType="name string, text string, error string")
